@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe_chunks, langid, media_gif, token_histogram
+from quoin.llm import bpe_chunks, decontaminate, langid, media_gif, secret_scan, token_histogram
 from quoin.llm._base import crc_part, table
 
 
@@ -27,6 +27,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.col("rejected"))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif_media, op3_bpe_chunk_reuse, op6_token_length_histogram, op8_language_id)}
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.secret_spans(docs, secret_scan.train_markov(docs))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_gif_media, op3_bpe_chunk_reuse, op6_token_length_histogram, op7_secret_scan, op8_language_id, op9_decontamination)}
 
 ORACLES: dict[str, str] = {}

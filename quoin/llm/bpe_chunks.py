@@ -29,9 +29,11 @@ from quoin.llm._base import arrow_map, struct, text_bytes
 #: Mean chunk length in bytes is 2 ** CHUNK_BITS.
 CHUNK_BITS = 7
 #: Entries that a worker keeps; the older half goes when a cache is full.
-CHUNK_CACHE, WORD_CACHE = 40_000, 250_000
+CHUNK_CACHE, WORD_CACHE = 40_000, 400_000
 #: White space at which words may be parted: it never joins with what stands beside it.
 _SPACE = re.compile(rb"[ \t\n\r]")
+#: Punctuation that never joins with the letters before it (an apostrophe may).
+_CLOSING = b".,!?;:%&*$#"
 _GEAR = np.random.default_rng(20240517).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -94,8 +96,27 @@ class ChunkEncoder:
         self.encoded_chunks = self.reused_chunks = 0
 
     def learn(self, words: Iterable[bytes]) -> None:
-        """Encode words that the cache lacks, many in one call."""
-        new = list(words)
+        """Encode words that the cache lacks.
+
+        An ASCII word with closing punctuation gives the tokens of its lower-case letters and
+        of the punctuation: the vocabulary lowers case and parts both anyway.
+        """
+        held, parted, plain = self.words, {}, set()
+        for word in words:
+            core = word.rstrip(_CLOSING)
+            if core.isalpha() and (low := core.lower()) != word:
+                parted[word] = (low, word[len(core) :])
+                plain.update(parted[word])
+            else:
+                plain.add(word)
+        self._encode([w for w in plain if w and w not in held])
+        for word, (low, rest) in parted.items():
+            a = held[low]
+            b = held[rest] if rest else (0, "", "")
+            held[word] = (a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}") if b[0] else a
+
+    def _encode(self, new: list[bytes]) -> None:
+        """Encode words, a thousand in one call."""
         for at in range(0, len(new), 1000):
             part = [w.decode("utf-8", "surrogatepass") for w in new[at : at + 1000]]
             line = " ".join(part)

@@ -34,7 +34,7 @@ UNITS = "km m cm mm mi ft in kg g mg lb oz l ml s sec min h hr hours minutes sec
 NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
 RAW_TOKEN = NUMBER + r"|[\p{L}\p{M}]+"
 TOKEN = r"<[nuc]>|[\p{L}\p{M}]+"
-NAME = r"([\p{Ll}\p{N},;:]\x20)(\p{Lu}[\p{L}\p{M}]*)"
+NAME = r"([\p{Ll}\p{N},;:]\x20)(\p{Lu}\p{Ll}[\p{L}\p{M}]*)"
 
 
 def canonical(text: Column) -> Column:

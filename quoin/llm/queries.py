@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe_chunks, decontaminate, langid, media_gif, secret_scan, token_histogram
+from quoin.llm import bpe_chunks, decontaminate, langid, media_gif, secret_scan, token_histogram, toxicity
 from quoin.llm._base import crc_part, table
 
 
@@ -17,6 +17,12 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), held_out=(3, 1))
+    return toxicity.score_toxicity(docs, model).select("doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram.token_histogram(table(spark, sf_dir, "documents"))
 
@@ -36,6 +42,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif_media, op3_bpe_chunk_reuse, op6_token_length_histogram, op7_secret_scan, op8_language_id, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_gif_media, op3_bpe_chunk_reuse, op5_toxicity, op6_token_length_histogram, op7_secret_scan, op8_language_id, op9_decontamination)}
 
 ORACLES: dict[str, str] = {}

@@ -62,3 +62,16 @@ def crc_part(column: str, parts: int):
 def sample_ids(df: DataFrame, column: str, rows: int, salt: int) -> DataFrame:
     """At most ``rows`` values of an id column, chosen by hash: the bound of a training sample."""
     return df.select(column).orderBy(F.xxhash64(F.col(column), F.lit(salt)), F.col(column)).limit(rows)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder that the session names; a folder of our own only where none is."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            import tempfile
+
+            place = tempfile.mkdtemp(prefix="quoin-checkpoint-")
+        context.setCheckpointDir(place)
+    return df.checkpoint(eager=True)

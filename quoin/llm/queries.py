@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe_chunks, decontaminate, langid, media_gif, ngram_join, secret_scan, sentence_spans, token_histogram, toxicity
+from quoin.llm import bpe_chunks, decontaminate, html_template, langid, media_gif, ngram_join, secret_scan, sentence_spans, token_histogram, toxicity
 from quoin.llm._base import crc_part, table
 
 
@@ -21,6 +21,10 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_html_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), held_out=(3, 1))
@@ -50,6 +54,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_gif_media, op2_ngram_jaccard_join, op3_bpe_chunk_reuse, op5_toxicity, op6_token_length_histogram, op7_secret_scan, op8_language_id, op9_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_gif_media, op2_ngram_jaccard_join, op3_bpe_chunk_reuse, op4_html_template_extraction, op5_toxicity, op6_token_length_histogram, op7_secret_scan, op8_language_id, op9_decontamination, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}

@@ -64,14 +64,21 @@ def sample_ids(df: DataFrame, column: str, rows: int, salt: int) -> DataFrame:
     return df.select(column).orderBy(F.xxhash64(F.col(column), F.lit(salt)), F.col(column)).limit(rows)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary one of our own only where none is named."""
+    held = spark.sparkContext.getCheckpointDir()
+    if held:
+        return held
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        import tempfile
+
+        place = tempfile.mkdtemp(prefix="quoin-checkpoint-")
+    spark.sparkContext.setCheckpointDir(place)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder that the session names; a folder of our own only where none is."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not place:
-            import tempfile
-
-            place = tempfile.mkdtemp(prefix="quoin-checkpoint-")
-        context.setCheckpointDir(place)
+    """Cut the lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -6,9 +6,9 @@ embeddings of the word's character n-grams. Both directions run over windows of
 whole text is cut into overlapping windows, all of which are scored; the text's
 score is calibrated from its highest window.
 
-Training sees labels of whole texts only. It first gives every window its
-text's label, then keeps as positives the windows of toxic texts that the
-network itself holds likely, and trains on. Gradients are worked out by hand;
+Training sees labels of whole texts only. Positives are first the windows of
+toxic texts with the words or n-grams of the highest log odds between labels,
+then those that the network itself holds likely, and the likeliest of each text. Gradients are worked out by hand;
 steps are Adam's. The sample is bounded by ``TRAIN_ROWS`` per label.
 
 Null texts and texts without a word get the score of an empty window. Equal
@@ -229,7 +229,27 @@ def _epoch(model: ToxicityModel, adam: _Adam, texts: _Texts, pick: np.ndarray, l
             adam("chars", model.chars, g, rows)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 5, rounds: int = 4) -> ToxicityModel:
+def _seeds(held: _Texts, labels: np.ndarray) -> np.ndarray:
+    """First guess of each window's toxicity: the largest log odds of a word or n-gram between toxic and clean texts."""
+    n_words = len(held.whole)
+    grams, sizes = np.concatenate(held.grams), np.array([len(x) for x in held.grams])
+    texts_with = np.zeros((2, WORD_BUCKETS + CHAR_BUCKETS))
+    for i, label in enumerate(labels):
+        here = np.unique(held.windows[held.owners == i])
+        here = here[here >= 0]
+        if len(here):
+            ids = np.concatenate([held.whole[here], *[held.grams[w] + WORD_BUCKETS for w in here]])
+            texts_with[int(label)][np.unique(ids)] += 1
+    totals = np.bincount(labels.astype(int), minlength=2)
+    odds = np.log((texts_with[1] + 0.5) / (totals[1] + 1)) - np.log((texts_with[0] + 0.5) / (totals[0] + 1))
+    odds[texts_with[1] < 2] = -9
+    owner = np.repeat(np.arange(n_words), sizes)
+    best = odds[held.whole].copy()
+    np.maximum.at(best, owner, odds[grams + WORD_BUCKETS])
+    return np.append(best, -9)[held.windows].max(axis=1)  # padding is the last
+
+
+def train(texts: list[str], labels: list[int], seed: int = 5, rounds: int = 5, least_steps: int = 400) -> ToxicityModel:
     """Learn from labelled whole texts; without both labels the score stays at the share of label 1."""
     model, rng = fresh_model(seed), np.random.default_rng(seed)
     labels_at = np.array(labels, dtype=np.float32)
@@ -240,22 +260,19 @@ def train(texts: list[str], labels: list[int], seed: int = 5, rounds: int = 4) -
     held = _Texts(texts)
     toxic = labels_at[held.owners] == 1
     bad, good = np.flatnonzero(toxic), np.flatnonzero(~toxic)
-    adam = _Adam(0.01)
+    adam = _Adam(0.02)
     for round_ in range(rounds):
-        if round_:
-            z = _logits(model, held, bad)
-            best = np.full(len(texts), -np.inf)
-            np.maximum.at(best, held.owners[bad], z)
-            # Windows that look toxic, and the likeliest of each toxic text.
-            chosen = bad[(z > 0) | (z >= best[held.owners[bad]])]
-        else:
-            chosen = bad
-        clean = rng.permutation(good)[: max(4000, 2 * len(chosen))]
-        if len(chosen) > 6000:
-            chosen = rng.permutation(chosen)[:6000]
-            clean = clean[:9000]
-        _epoch(model, adam, held, np.concatenate([chosen, clean]), np.concatenate([np.ones(len(chosen)), np.zeros(len(clean))]), rng)
-        adam.rate *= 0.8
+        z = _logits(model, held, bad) if round_ else _seeds(held, labels_at)[bad] - 3
+        best = np.full(len(texts), -np.inf)
+        np.maximum.at(best, held.owners[bad], z)
+        # Windows that look toxic, and the likeliest of each toxic text.
+        chosen = rng.permutation(bad[(z > 0) | (z >= best[held.owners[bad]])])[:6000]
+        # A small sample is gone through more often, each time with other clean windows.
+        size = max(500, 2 * len(chosen))
+        for _ in range(max(1, least_steps // rounds // ((len(chosen) + size) // 128 + 1))):
+            clean = rng.permutation(good)[:size]
+            _epoch(model, adam, held, np.concatenate([chosen, clean]), np.concatenate([np.ones(len(chosen)), np.zeros(len(clean))]), rng)
+        adam.rate *= 0.2 ** (1 / rounds)
     z = _logits(model, held, np.arange(len(held.windows)))
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, held.owners, z)

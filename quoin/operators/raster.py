@@ -120,3 +120,56 @@ def logo_candidates(regions: DataFrame, page_width: float, page_height: float) -
     share = w * h / (page_width * page_height)
     near_side = (F.col("x0") <= 0.18 * page_width) | (F.col("x1") >= 0.82 * page_width)
     return regions.filter((F.col("y1") <= 0.22 * page_height) & near_side & share.between(0.0005, 0.08) & (w <= 0.18 * page_width) & (h <= 0.18 * page_height) & ((F.col("kind") == "image") | (F.col("drawing_count") >= 4)))
+
+
+def masked(gray: np.ndarray, boxes: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Regions painted white."""
+    out = gray.copy()
+    for x0, y0, x1, y1 in boxes:
+        out[y0:y1, x0:x1] = 255
+    return out
+
+
+def stretched(gray: np.ndarray) -> np.ndarray:
+    """Contrast stretched between the 2 % and 98 % levels."""
+    low, high = percentile_range(gray)
+    return np.clip((gray.astype(float) - low) * 255 / max(1, high - low), 0, 255).astype(np.uint8)
+
+
+def _filtered(gray: np.ndarray, kernel: list[list[float]]) -> np.ndarray:
+    padded, h, w = np.pad(gray.astype(float), 1, mode="edge"), *gray.shape
+    return sum(kernel[i][j] * padded[i : i + h, j : j + w] for i in range(3) for j in range(3))
+
+
+def blurred(gray: np.ndarray) -> np.ndarray:
+    return _filtered(gray, [[1 / 16, 2 / 16, 1 / 16], [2 / 16, 4 / 16, 2 / 16], [1 / 16, 2 / 16, 1 / 16]])
+
+
+def edges(gray: np.ndarray) -> np.ndarray:
+    """Sobel magnitude by absolute sums."""
+    return np.abs(_filtered(gray, [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])) + np.abs(_filtered(gray, [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]))
+
+
+def dark_pixels(gray: np.ndarray, radius: int = 15, offset: float = 10.0) -> np.ndarray:
+    """Pixels darker than the mean around them by an offset, through the summed-area table."""
+    table, (h, w) = summed_area(gray), gray.shape
+    y0, y1 = np.clip(np.arange(h) - radius, 0, h), np.clip(np.arange(h) + radius + 1, 0, h)
+    x0, x1 = np.clip(np.arange(w) - radius, 0, w), np.clip(np.arange(w) + radius + 1, 0, w)
+    total = table[y1][:, x1] - table[y0][:, x1] - table[y1][:, x0] + table[y0][:, x0]
+    return gray < total / ((y1 - y0)[:, None] * (x1 - x0)[None]) - offset
+
+
+def dilated(binary: np.ndarray) -> np.ndarray:
+    p, (h, w) = np.pad(binary, 1), binary.shape
+    return np.logical_or.reduce([p[i : i + h, j : j + w] for i in range(3) for j in range(3)])
+
+
+def eroded(binary: np.ndarray) -> np.ndarray:
+    return ~dilated(~binary)
+
+
+def fnv1a(data: bytes) -> int:
+    h = 2166136261
+    for b in data:
+        h = (h ^ b) * 16777619 & 0xFFFFFFFF
+    return h

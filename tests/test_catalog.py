@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from quoin.plans import catalog
+from quoin.plans import catalog, pages  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -7,6 +7,7 @@ each line before, and its bisection on each wrap: an Arrow-batched pandas UDF do
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from quoin.functions.text import DIGIT, FULL, NARROW, OTHER, PUNCTUATION, SPACE,
 STEPS = 16
 
 
+@lru_cache(4096)
 def char_width(c: str) -> float:
     if c.isspace():
         return SPACE
@@ -49,21 +51,37 @@ def broken_token(token: str, width: float, size: float) -> list[str]:
     return [*out, now] if now else out
 
 
-def wrapped(text: str, width: float, size: float) -> list[str]:
-    """Greedy word wrap; line feeds of the text stay, long tokens are cut by characters."""
+def measured(text: str) -> list[list[tuple[str, float]]]:
+    """Paragraphs of a text as words with their widths at size 1, so that each probe of a size only adds numbers."""
+    return [[(w, line_width(w)) for w in p.split()] for p in re.split(r"\r\n?|\n", text or "")]
+
+
+def wrapped(text: str | list, width: float, size: float, most: float = float("inf")) -> list[str]:
+    """Greedy word wrap of a text, or of what ``measured`` gave for it; line feeds stay, long tokens are cut by characters.
+
+    Wrapping ends early once there are over ``most`` lines: a probe that only asks whether the text fits.
+    """
     out: list[str] = []
-    for paragraph in re.split(r"\r\n?|\n", text or ""):
-        now = ""
-        for word in paragraph.split():
-            joined = f"{now} {word}" if now else word
-            if line_width(joined, size) <= width:
-                now = joined
+    for paragraph in measured(text) if isinstance(text, str) else text:
+        now: list[str] = []
+        used = 0.0
+        for word, unit in paragraph:
+            if len(out) > most:
+                return out
+            more = (SPACE * size if now else 0.0) + unit * size
+            if used + more <= width:
+                now.append(word)
+                used += more
                 continue
             if now:
-                out.append(now)
-            *full, now = broken_token(word, width, size)
-            out += full
-        out.append(now)
+                out.append(" ".join(now))
+            if unit * size <= width:
+                now, used = [word], unit * size
+            else:
+                *full, last = broken_token(word, width, size)
+                out += full
+                now, used = [last], line_width(last, size)
+        out.append(" ".join(now))
     return out
 
 
@@ -85,16 +103,18 @@ def truncated(text: str, width: float, size: float) -> str:
 def wrapped_fit(text: str, width: float, height: float, base: float, least: float, spacing: float = DEFAULT_LINE_SPACING) -> tuple[float, list[str], bool]:
     """Largest size up to ``base`` whose wrapped lines fit, by bisection: size, lines, overflow."""
 
+    words = measured(text)
+
     def fits(size: float) -> tuple[bool, list[str]]:
-        lines = wrapped(text, width, size)
-        return size + (len(lines) - 1) * size * spacing <= height and all(line_width(s, size) <= width + 1e-9 for s in lines), lines
+        lines = wrapped(words, width, size, (height - size) / (size * spacing) + 1)
+        return size + (len(lines) - 1) * size * spacing <= height and len(lines) > 0, lines
 
     ok, lines = fits(base)
     if ok:
         return base, lines, False
     ok, lines = fits(least)
     if not ok:
-        return least, lines, True
+        return least, wrapped(words, width, least), True
     low, high = least, base
     for _ in range(STEPS):
         mid = (low + high) / 2

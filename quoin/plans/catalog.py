@@ -60,7 +60,7 @@ lines AS (SELECT doc_id, (line_no // 50 + 1)::INT AS page_id, line_no, text, CAS
 WORDS = LINES + f""",
 parts AS (SELECT doc_id, page_id, line_no, x0 AS lx, y0, y1, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS ws FROM lines),
 spread AS (SELECT *, unnest(ws) AS text, generate_subscripts(ws, 1) - 1 AS k FROM parts),
-led AS (SELECT *, CASE WHEN k > 0 THEN 10 * {width_sql("array_to_string(ws[1:k], ' ')")} + 3.3 ELSE 0 END AS lead FROM spread),
+led AS (SELECT *, coalesce(sum(10 * {width_sql("text")} + 3.3) OVER (PARTITION BY doc_id, line_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lead FROM spread),
 words AS (SELECT doc_id, page_id, line_no, k::INT AS word_no, text, round(lx + lead, 4) AS x0, y0, round(lx + lead + 10 * {width_sql("text")}, 4) AS x1, y1 FROM led)"""
 
 

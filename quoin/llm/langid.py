@@ -15,7 +15,6 @@ calibrated score is below ``reject_below``.
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,7 +68,7 @@ class Scorer:
         self.scores[len(rows) : len(rows) + len(new)] = gram_means(new, SIZES, model.table)
         rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
         for words in split:
-            if not words:
+            if not any(c.isalpha() for w in words for c in w):
                 out.append((UNDETERMINED, 0.0, True))
                 continue
             at = np.fromiter(map(rows.__getitem__, words), dtype=np.int64, count=len(words))
@@ -197,7 +196,3 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     return docs.mapInArrow(run, kind)
 
-
-def has_letter(text: str | None) -> bool:
-    """Whether a text has a character of a Unicode letter category."""
-    return any(unicodedata.category(c)[0] == "L" for c in text or "")

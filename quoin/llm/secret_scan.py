@@ -131,7 +131,7 @@ def secret_spans(docs: DataFrame, ratios: list[int]) -> DataFrame:
 
 
 def redact(docs: DataFrame, ratios: list[int], mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span in text replaced by ``mark`` and n_chars counted anew; other rows are as they were."""
+    """``docs`` with every span in text replaced by ``mark`` and n_chars of these rows counted anew; other rows are as they were."""
     found = scan(docs, ratios).withColumn("_all", F.array_sort(F.concat("base", "added")))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
 
@@ -146,5 +146,5 @@ def redact(docs: DataFrame, ratios: list[int], mark: str = "[secret]") -> DataFr
     parts = F.transform("_all", lambda x, i: F.concat(F.substring(F.col("text"), before(i) + 1, x["s"] - before(i)), F.lit(mark)))
     tail = F.substring(F.col("text"), F.element_at("_all", -1)["e"] + 1, F.length("text"))
     text = F.when(F.size("_all") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
-    clean = found.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+    changed = {"text": text, "n_chars": F.when(F.size("_all") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

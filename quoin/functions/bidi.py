@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A right-to-left label, what may begin its value, and runs that keep their order.
 LABEL = r"[\x{0590}-\x{08FF}][\x{0590}-\x{08FF}\s\"'()./\-]*?"
@@ -41,7 +42,7 @@ def visual_rtl(text: str) -> str:
     return LTR_RUN.sub(lambda m: m[0][::-1], text[::-1])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def prepared_line(text: pd.Series, rtl: pd.Series) -> pd.Series:
     """Visual order for right-to-left lines, others as they are."""
     return pd.Series([visual_rtl(t) if r and t else t for t, r in zip(text, rtl, strict=True)])

@@ -22,10 +22,10 @@ def banded(df: DataFrame, prefix: str, grid: float) -> DataFrame:
     return df.withColumn("_band", F.explode(F.sequence(F.floor(b.y0 / grid), F.floor(b.y1 / grid))))
 
 
-def spatial_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, grid: float | None = None, how: str = "inner") -> DataFrame:
-    """Join boxes a_ and b_ of one page. With ``grid`` only boxes of a common band meet, each pair once."""
+def spatial_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, grid: float | None = None) -> DataFrame:
+    """Join boxes a_ and b_ of one page. With ``grid`` only boxes of a common band meet, each pair in the first one."""
     if grid is None:
-        return left.join(right, [*[left[k] == right[k] for k in keys], condition], how).drop(*[right[k] for k in keys]) if how == "inner" else left.join(right, [*[left[k] == right[k] for k in keys], condition], how)
+        return left.join(right, keys).filter(condition)
     a, b = banded(left, "a_", grid), banded(right, "b_", grid)
     first = F.greatest(F.floor(F.col("a_y0") / grid), F.floor(F.col("b_y0") / grid))
     return a.join(b, [*keys, "_band"]).filter((F.col("_band") == first) & condition).drop("_band")

@@ -135,7 +135,7 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
 
 
 def _verified(similarity: float):
-    def verify(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
         first, second = key[1], key[2]
         left = np.flatnonzero(rows["block"].to_numpy() == first)

@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps on DataFrames.
 
 Every step is a minimum per node (combined on the map side) and a join back to
-the edges, so that a hub's edges never meet in one task; the edges are
-checkpointed after each round. Components end as stars around their least node.
+the edges, so that a hub's edges never meet in one task; the least
+nodes are checkpointed before the join, which so deals both sides out anew and can split a
+hub between tasks. The edges are checkpointed after each round. Components end as stars around their least node.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from quoin.llm._base import checkpointed
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.llm._base import checkpointed
 from quoin.llm.bpe_chunks import token_lengths
 
 BLOCK = 256
@@ -31,7 +32,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     tokens_over (tokens of the longer documents), truncated_total (tokens left when every
     document is cut at L), total_docs, total_tokens, quantile (share of documents <= L).
     """
-    blocks = histogram.withColumn("block", (F.col("n_tokens") / BLOCK).cast("long"))
+    # Used twice below; without the checkpoint every text would be encoded twice.
+    blocks = checkpointed(histogram.withColumn("block", (F.col("n_tokens") / BLOCK).cast("long")))
     sums = blocks.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("b_tokens"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -411,7 +411,7 @@ def closed_form_fit(spark, sf_dir):
 
 
 def _elements(spark, sf_dir):
-    return synth_words(first_lines(spark, sf_dir)).select(*PAGE, F.concat_ws("_", "line_no", "word_no").alias("element_id"), "text", F.lit("").alias("split_reason"), "x0", "y0", "x1", "y1")
+    return line_words(spark, sf_dir).select(*PAGE, F.concat_ws("_", "line_no", "word_no").alias("element_id"), "text", F.lit("").alias("split_reason"), "x0", "y0", "x1", "y1")
 
 
 @query()
@@ -427,7 +427,7 @@ def table_components(spark, sf_dir):
 
 @query()
 def wrapped_font_fit(spark, sf_dir):
-    blocks = first_lines(spark, sf_dir).select(*PAGE, "line_no", "text", "x0", "y0", (F.col("x0") + 200).alias("x1"), (F.col("y0") + 60).alias("y1"), F.lit(12.0).alias("base_size"))
+    blocks = layout_lines(spark, sf_dir).select(*PAGE, "line_no", "text", "x0", "y0", (F.col("x0") + 200).alias("x1"), (F.col("y0") + 60).alias("y1"), F.lit(12.0).alias("base_size"))
     return fitting.fit_blocks(blocks).select(*PAGE, "line_no", "font_size", F.size("lines").alias("n_lines"), "overflow")
 
 

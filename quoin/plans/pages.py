@@ -199,19 +199,19 @@ def line_break_policy(spark, sf_dir):
 
 @query()
 def box_suppression(spark, sf_dir):
-    boxes = first_lines(spark, sf_dir).select(*PAGE, "line_no", (F.length("text") % 17).cast("double").alias("score"), "x0", "y0", "x1", (F.col("y1") + 9).alias("y1"))
+    boxes = layout_lines(spark, sf_dir).select(*PAGE, "line_no", (F.length("text") % 17).cast("double").alias("score"), "x0", "y0", "x1", (F.col("y1") + 9).alias("y1"))
     return folds.by_page(boxes, PAGE, folds.suppress, "doc_id long, page_id int, line_no int, score double, x0 double, y0 double, x1 double, y1 double")
 
 
 @query()
 def vertical_merge(spark, sf_dir):
-    rows = first_lines(spark, sf_dir).select(*PAGE, F.col("line_no").cast("string").alias("element_id"), "text", F.lit(1).alias("source_block"), "x0", "y0", "x1", "y1")
+    rows = layout_lines(spark, sf_dir).select(*PAGE, F.col("line_no").cast("string").alias("element_id"), "text", F.lit(1).alias("source_block"), "x0", "y0", "x1", "y1")
     return folds.by_page(rows, PAGE, lambda r: folds.vertical_merge(r, lambda t: len(t.strip()) < 8), "doc_id long, page_id int, element_id string, text string, x0 double, y0 double, x1 double, y1 double, merged_ids array<string>")
 
 
 @query()
 def draw_operations(spark, sf_dir):
-    blocks = first_lines(spark, sf_dir, 10).select(*PAGE, F.col("line_no").alias("block_no"), "text", "x0", "y0", (F.col("x0") + 180).alias("x1"), (F.col("y0") + 50).alias("y1"), F.lit(11.0).alias("base_size"))
+    blocks = layout_lines(spark, sf_dir).select(*PAGE, F.col("line_no").alias("block_no"), "text", "x0", "y0", (F.col("x0") + 180).alias("x1"), (F.col("y0") + 50).alias("y1"), F.lit(11.0).alias("base_size"))
     return fitting.draw_lines(fitting.fit_blocks(blocks), [*PAGE, "block_no"])
 
 

@@ -1,11 +1,19 @@
 """Substring deduplication over sliding sentence spans.
 
-A text is cut into sentences; sentences of over ``LONG`` words are parted after
-words that a hash picks, so that parts agree wherever a passage stands. From
-every sentence a run of consecutive ones begins, the shortest that has two
-sentences and ``LEAST_WORDS`` words. Runs are hashed and joined over the whole
-table; the first run of a hash (least doc_id, then place) stays, and every
-sentence that any other run of that hash covers is removed.
+A text is cut into sentences, and these into parts: of any ``WINDOW`` consecutive
+words of the text, a part ends at the one with the least hash (the last of equal
+ones). So no part has over ``WINDOW`` words, and parts depend on near words only
+and agree wherever a passage stands. From every part a run of consecutive ones
+begins, the shortest that has two parts and ``LEAST_WORDS`` words. Runs are
+hashed and sorted by hash over the whole table; the first run of a hash (least
+doc_id, then place) stays, and every part that any other run of that hash covers
+is removed.
+
+A passage of ``4 * WINDOW + 17`` words or more holds a whole run wherever it
+stands: parts agree from its word ``WINDOW`` on to as many words before its end,
+the first of them begins within ``WINDOW`` words, and a run has at most
+``LEAST_WORDS + WINDOW - 1``. At the end of a repeated passage fewer than two
+windows of words may stay.
 
 Null and empty texts have no run and are kept as they are. Rows that repeat a
 doc_id with the same text hold the same first runs and are all kept. An empty
@@ -17,42 +25,70 @@ from __future__ import annotations
 import re
 import zlib
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoin.llm._base import arrow_map, struct
 
-LEAST_WORDS, LEAST_SENTENCES, LONG = 20, 2, 20
-#: One in so many words ends a part of a long sentence.
-PART = 8
+LEAST_WORDS, LEAST_SENTENCES = 20, 2
+#: Of so many consecutive words one ends a part; a power of two, and the largest for passages of 50 words.
+WINDOW = 8
+#: Words whose hashes a worker holds.
+HELD_WORDS = 200_000
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _TOKEN = re.compile(r"\S+")
 
 
+class _Hashes(dict):
+    """crc32 of words, each computed once while it is held."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        self[word] = h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def part_ends(words: list[str]) -> list[int]:
+    """Places of the words that end a part: the least hash of any window, the last one of equal ones."""
+    n = len(words)
+    if n < WINDOW:
+        return []
+    least = (np.fromiter(map(_HASHES.__getitem__, words), np.int64, n) << 31) | np.arange(n, 0, -1)
+    step = 1
+    while step < WINDOW:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    return (n - np.unique(least & ((1 << 31) - 1))[::-1]).tolist()
+
+
 def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the sentences in order."""
-    out, at = [], 0
+    """(start, end, words) of the parts of sentences in order."""
+    out, at, k = [], 0, 0
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    ends = iter([*part_ends(text.split()), len(spans)])
+    cut = next(ends)
     for end, after in [m.span() for m in _BREAK.finditer(text)] + [(len(text), len(text))]:
-        part = text[at:end]
-        words = len(part.split())
-        if words > LONG:
-            start, n = at, 0
-            for m in _TOKEN.finditer(part):
-                n += 1
-                if zlib.crc32(m[0].encode("utf-8", "surrogatepass")) % PART == 0:
-                    out.append((start, at + m.end(), n))
-                    start, n = at + m.end(), 0
-            if n:
-                out.append((start, end, n))
-        elif words:
-            out.append((at, end, words))
+        start, first = at, k
+        while k < len(spans) and spans[k][1] <= end:
+            k += 1
+            if cut == k - 1:
+                cut = next(ends)
+                out.append((start, spans[k - 1][1], k - first))
+                start, first = spans[k - 1][1], k
+        if k > first:
+            out.append((start, end, k - first))
         at = after
     return out
 
 
 def runs(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of the run that begins at each sentence, where there is one."""
+    """(hash, first sentence, sentences) of the run that begins at each part, where there is one."""
     import xxhash
 
     marks = [xxhash.xxh3_64_digest(" ".join(text[a:b].split()).encode("utf-8", "surrogatepass")) for a, b, _ in found]
@@ -88,9 +124,10 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
 def covered_sentences(docs: DataFrame) -> DataFrame:
     """doc_id and its covered runs as an array of (at, n), for documents that have any."""
     found = sentence_runs(docs.filter(F.col("doc_id").isNotNull()))
-    place = F.struct("doc_id", "at")
-    repeated = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "first")
-    later = found.join(repeated, "h").filter(place > F.col("first"))
+    # Sorted by place, the first row of a hash is its first run: one shuffle, and runs are made once.
+    so_far = Window.partitionBy("h").orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = found.withColumn("d", F.first("doc_id").over(so_far)).withColumn("p", F.first("at").over(so_far))
+    later = placed.filter((F.col("doc_id") != F.col("d")) | (F.col("at") != F.col("p")))
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("covered"))
 
 

@@ -376,6 +376,18 @@ def test_substring_dedup(spark, odd):
     assert sentence_spans.dedup_substrings(odd.limit(0)).count() == 0
 
 
+def test_passages_of_50_words_share_a_run():
+    rng, found = random.Random(5), lambda t: {r[0] for r in sentence_spans.runs(t, sentence_spans.sentences(t))}
+    for marks in [(), (17, 36), (12, 24, 31), *[sorted(rng.sample(range(1, 50), rng.randrange(6))) for _ in range(400)]]:
+        words = [f"w{rng.randrange(300)}" + "." * (i + 1 in marks) for i in range(50)]
+        around = [" ".join(f"x{rng.randrange(10**6)}" + "." * (rng.random() < 0.05) for _ in range(rng.randrange(60))) for _ in range(4)]
+        assert found(f"{around[0]} {' '.join(words)} {around[1]}") & found(f"{around[2]} {' '.join(words)} {around[3]}")
+    for t in ("", " ", "one", "a. b! c\n\n d ", "word " * 100, "no end " * 9 + ".\n"):
+        parts = sentence_spans.sentences(t)
+        assert [w for a, b, _ in parts for w in t[a:b].split()] == t.split()
+        assert all(len(t[a:b].split()) == n <= 8 for a, b, n in parts)
+
+
 # --- registration
 
 

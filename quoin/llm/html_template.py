@@ -45,6 +45,13 @@ ASIDE = frozenset("nav header footer aside form button select option menu dialog
 MAIN = frozenset("article main".split())
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|nav\w*|menu|breadcrumbs?|header|masthead|footer|side\w*|widget|toolbar|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|skip\w*)(?:$|[\s_-])", re.I)
 
+_SCOPE = frozenset("applet button caption html marquee object table td template th".split())
+_CELLS, _PARTS = frozenset("td th".split()), frozenset("tbody thead tfoot".split())
+#: Elements that end when another of the key's kind opens, and those that shield them.
+IMPLIED = {"p": (frozenset(["p"]), _SCOPE), "li": (frozenset(["li"]), _SCOPE | frozenset("ul ol menu".split())), "option": (frozenset(["option"]), _SCOPE | {"select"}), "tr": (frozenset(["tr"]), frozenset(["table"]))}
+IMPLIED |= dict.fromkeys(("dd", "dt"), (frozenset("dd dt".split()), _SCOPE | {"dl"})) | dict.fromkeys(_CELLS, (_CELLS, frozenset("tr table".split()))) | dict.fromkeys(_PARTS, (_PARTS, frozenset(["table"])))
+ENDS_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary ul".split())
+
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -100,9 +107,10 @@ class Page:
 
 
 def parse(source: str | None) -> Page:
-    """Blocks and tokens of a page; broken nesting is closed where an outer element ends."""
+    """Blocks and tokens of a page; broken nesting is closed where an outer element ends or HTML implies it."""
     page = Page()
-    stack: list[tuple[str, bool, str]] = []  # name, whether it is no main text, path
+    stack: list[tuple[str, bool, bool, str]] = []  # name, whether inside main, whether no main text, path
+    held: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
 
@@ -111,14 +119,22 @@ def parse(source: str | None) -> Page:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            mains = [i for i, s in enumerate(stack) if s[0] in MAIN]
-            inner = stack[mains[-1] :] if mains else stack
-            path = stack[-1][2] if stack else ""
+            main, aside, path = stack[-1][1:] if stack else (False, False, "")
             words = [(path, w) for w in text.split()]
-            page.blocks.append(Block(text, bool(mains), any(s[1] for s in inner), words, linked))
+            page.blocks.append(Block(text, main, aside, words, linked))
             page.tokens += words
         linked = 0
 
+    def end(names: frozenset[str], shields: frozenset[str] = frozenset()) -> None:
+        if any(held[n] for n in names):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in names:
+                    held.subtract(s[0] for s in stack[i:])
+                    del stack[i:]
+                    return
+                if stack[i][0] in shields:
+                    return
+
     for kind, name, rest in events(source or ""):
         if kind == "text":
             text = html.unescape(name)
@@ -131,23 +147,24 @@ def parse(source: str | None) -> Page:
         elif name == "br":
             parts.append(" ")
         if kind == "close":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            page.tokens.append((stack[-1][2] if stack else "", f"</{name}>"))
+            end(frozenset([name]), IMPLIED[name][1] if name in IMPLIED else frozenset())
+            page.tokens.append((stack[-1][3] if stack else "", f"</{name}>"))
             continue
         marks = " ".join(v for a in _ATTR.findall(rest) for v in a[1:] if v) if "=" in rest else ""
-        path = stack[-1][2] if stack else ""
+        if name in IMPLIED:
+            end(*IMPLIED[name])
+        if name in ENDS_P:
+            end(*IMPLIED["p"])
+        inside, outer, path = stack[-1][1:] if stack else (False, False, "")
         page.tokens.append((path, f"<{name} {marks}>"))
         if name in MAIN:
             page.has_main = True
         if name in VOID or rest.rstrip().endswith("/"):
             continue
-        inside = any(s[0] in MAIN for s in stack)
         aside = name in ASIDE and not (name == "header" and inside) or bool(marks and name not in ("html", "body", *MAIN) and HINT.search(marks)) or bool(rest and _HIDDEN.search(rest))
-        if len(stack) < 200:
-            stack.append((name, aside, f"{path}/{name}"[-160:]))
+        held[name] += 1
+        # What is around an article does not count inside it.
+        stack.append((name, inside or name in MAIN, aside or outer and name not in MAIN, f"{path}/{name}"[-160:]))
     flush()
     return page
 

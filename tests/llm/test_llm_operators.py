@@ -206,6 +206,19 @@ def test_template_text_is_dropped():
     assert html_template.main_text(pages[1], template) == "Story 1 is about green things\n\ngreen"
 
 
+@pytest.mark.parametrize("open_", ["<div>", "<p><b>", "<b>"])
+def test_html_of_any_depth(open_):
+    text = lambda body: html_template.main_text(html_template.parse(page(body)), [])
+    assert text(f"<article>{open_ * 300}One<aside>no</aside><div class=ad>no</div><form>no</form> two</article><p>out") == "One\n\ntwo"
+    assert text(f"{open_ * 300}<article><p>in</p></article>") == "in"
+
+
+def test_html_implied_ends():
+    text = lambda body: html_template.main_text(html_template.parse(page(body)), [])
+    assert text("<article><p class=ad>no<p>One<ul><li class=ad>no<li>two<ul><li>three</ul></ul><table><tr><td class=ad>no<td>four<tr><td>five</table></article>") == "One\n\ntwo\n\nthree\n\nfour\n\nfive"
+    assert text("<article><p>One<table><tr><td><div>two</div></p>three</table>four</article>") == "One\n\ntwo\n\nthree\n\nfour"
+
+
 def test_html_on_the_table(spark):
     got = {r["page_id"]: r["text"] for r in html_template.extract_main_text(table(spark, SF, "pages")).collect()}
     import html as h

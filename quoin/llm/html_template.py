@@ -178,7 +178,8 @@ class EquivalenceClass:
 
 
 def deduce_template(pages: list[Page]) -> list[EquivalenceClass]:
-    """Valid equivalence classes of a group, nested by ``parent``; none for too few pages."""
+    """Valid equivalence classes of a group's non-empty pages, nested by ``parent``; none for too few pages."""
+    pages = [p for p in pages if p.tokens]
     if len(pages) < LEAST_PAGES:
         return []
     seen = Counter(t for p in pages for t in set(p.tokens))
@@ -214,9 +215,14 @@ def deduce_template(pages: list[Page]) -> list[EquivalenceClass]:
     return out
 
 
+def is_fixed(vector: tuple[int, ...]) -> bool:
+    """Whether tokens of this vector belong to the template: one count, not zero, in ``SUPPORT`` of the pages."""
+    return max(Counter(v for v in vector if v).values()) >= SUPPORT * len(vector)
+
+
 def main_text(page: Page, template: list[EquivalenceClass]) -> str:
     """The slots of a page that belong to its main text, joined by two line feeds."""
-    fixed = {t for c in template if min(c.vector) > 0 and len(set(c.vector)) == 1 for t in c.tokens}
+    fixed = {t for c in template if is_fixed(c.vector) for t in c.tokens}
     kept = []
     for block in page.blocks:
         if block.aside or page.has_main and not block.main:
@@ -244,6 +250,25 @@ def grouped_pages(pages: DataFrame) -> DataFrame:
     return salted.drop("salts").repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id")
 
 
+def grouped(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Runs of rows with one key, the first item, in groups of at most ``GROUP_PAGES``; of a key with ``LEAST_PAGES`` rows no group has fewer."""
+    held: list[tuple] = []
+
+    def rest() -> Iterator[list[tuple]]:
+        half = (len(held) + 1) // 2 if len(held) > GROUP_PAGES else len(held)
+        yield from (part for part in (held[:half], held[half:]) if part)
+
+    for row in rows:
+        if held and held[0][0] != row[0]:
+            yield from rest()
+            held = []
+        elif len(held) == GROUP_PAGES + LEAST_PAGES - 1:
+            yield held[:GROUP_PAGES]
+            held = held[GROUP_PAGES:]
+        held.append(row)
+    yield from rest()
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, main text, its code points and the number of template classes, for every page."""
 
@@ -251,23 +276,15 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(EXTRACTED)
-        held: list[tuple] = []
-
-        def done() -> pa.RecordBatch:
+        def done(held: list[tuple]) -> pa.RecordBatch:
             parsed = [parse(h[3]) for h in held]
             template = deduce_template(parsed)
             texts = [main_text(p, template) for p in parsed]
             columns = [[h[1] for h in held], [h[2] for h in held], texts, [len(t) for t in texts], [len(template)] * len(held)]
-            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                key = (row[0], row[1])
-                if held and (held[0][0] != key or len(held) >= GROUP_PAGES):
-                    yield done()
-                held.append((key, *row[2:]))
-        if held:
-            yield done()
+        rows = (((r[0], r[1]), *r[2:]) for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+        for held in grouped(rows):
+            yield done(held)
 
     return grouped_pages(pages).select("host", "salt", "page_id", "url", "html").mapInArrow(run, EXTRACTED)

@@ -206,6 +206,22 @@ def test_template_text_is_dropped():
     assert html_template.main_text(pages[1], template) == "Story 1 is about green things\n\ngreen"
 
 
+def test_html_support_is_of_non_empty_pages():
+    # 48 pages, of which one is empty, one null and one an error page
+    rows = [page(f"<div><p>Read all our other stories</p><p>Story {i} is about it{i}</p></div>") for i in range(45)] + ["", None, "<h1>Error</h1><p>not found</p>"]
+    pages = [html_template.parse(r) for r in rows]
+    assert html_template.main_text(pages[7], html_template.deduce_template(pages)) == "Story 7 is about it7"
+
+
+def test_html_groups_have_least_pages():
+    for n in (1, 3, 4, 47, 48, 49, 51, 52, 97, 99, 100, 147):
+        rows = [("a", i) for i in range(n)] + [("b", i) for i in range(n)]
+        got = list(html_template.grouped(iter(rows)))
+        assert [r for g in got for r in g] == rows
+        assert all(len({r[0] for r in g}) == 1 and min(n, 4) <= len(g) <= 48 for g in got)
+    assert list(html_template.grouped(iter([]))) == []
+
+
 @pytest.mark.parametrize("open_", ["<div>", "<p><b>", "<b>"])
 def test_html_of_any_depth(open_):
     text = lambda body: html_template.main_text(html_template.parse(page(body)), [])

@@ -4,11 +4,12 @@ Pages of a host are read in groups of at most ``GROUP_PAGES``. Their tokens
 (tags and words, told apart by the path of open elements) are grouped by their
 occurrence vectors, the counts in each page. Classes of tokens that occur in
 most pages, keep their order and do not overlap are valid; nested by the gaps
-they stand in, they are the template. What is left between template tokens are
-slots. A slot belongs to the main text unless its element, or one around it
-inside the article, is a menu, header, footer, sidebar, notice, advert, form,
-script, style or comment section; text that belongs to the template itself is
-dropped wherever it stands.
+they stand in, they are the template; blocks of two and more words that consist
+of its tokens alone are dropped. No slots are derived from the nested classes:
+which other blocks are main text is told by tag rules. A block belongs to it if
+it stands in an article or main element, where the page has one, unless its
+element, or one around it inside the article, is a menu, header, footer, sidebar,
+notice, advert, form, script, style or comment section.
 
 A host of over a thousandth of all pages is salted, so at most a thousand hosts
 are broadcast; every page still takes part in exactly one group. Groups of under

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows handled at once inside a Python worker; bounds memory whatever the Arrow batch holds.
-SLICE_ROWS = 256
+#: Rows and bytes handled at once inside a Python worker; they bound memory whatever the Arrow batch holds.
+SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,31 @@ def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in order in slices of at most ``rows`` rows and ``size`` bytes; a longer row stands alone."""
+    for at in range(0, batch.num_rows, rows):
+        left = [batch.slice(at, rows)]
+        while left:
+            part = left.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                left += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def release() -> None:
+    """Give freed memory back at a task's end: Spark keeps Python workers, and what one stage held would add to the next one's."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim:
+        trim(0)
+
+
 def arrow_map(
     df: DataFrame,
     columns: list[str],
@@ -42,10 +67,11 @@ def arrow_map(
 
         out, step = to_arrow_schema(schema), make()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            for part in slices(batch, slice_rows):
                 got = step({c: part.column(i).to_pylist() for i, c in enumerate(columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+        del step
+        release()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -65,12 +91,18 @@ def sample_ids(df: DataFrame, column: str, rows: int, salt: int) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one of our own only where none is named."""
+    """The folder that the session names in spark.checkpoint.dir.
+
+    Only a session on this machine alone, which has no other host to share a folder with,
+    may leave it unset and gets a temporary one; on a cluster that is an error.
+    """
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         place = tempfile.mkdtemp(prefix="quoin-checkpoint-")
@@ -82,3 +114,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint, and read by column.
+
+    Like checkpoints, these tables stay until the folder is emptied.
+    """
+    import uuid
+
+    place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)

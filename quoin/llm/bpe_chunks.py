@@ -5,11 +5,15 @@ depend on nearby bytes only, so passages that documents share give the same
 chunks wherever they stand. A chunk is encoded once while it stays in the
 worker's cache. A cut may fall inside a word: the chunk's outer word pieces
 are left open, and each join is repaired by encoding the word across it, over
-as many chunks as it takes to reach white space on both sides. Tokens never
-span white space in the supported vocabulary, so the result then agrees with
-encoding the whole text.
-
-Null texts count as empty (no tokens). Texts of any length are read whole.
+as many chunks as it takes to reach white space on both sides. From there on a
+wider neighbourhood gives the same tokens, since no token spans white space:
+``parts_at_space`` proves that from the vocabulary's own rules, and any other
+vocabulary is refused. So the result agrees with encoding the whole text.
+
+Caches live in one task and are bounded by bytes. Null texts count as empty (no
+tokens); an empty table gives an empty result; repeated rows repeat their
+result. Texts of any length are read whole. Only doc_id and text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,16 +24,16 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoin.llm._base import arrow_map, struct, text_bytes
 
 #: Mean chunk length in bytes is 2 ** CHUNK_BITS.
 CHUNK_BITS = 7
-#: Entries that a worker keeps; the older half goes when a cache is full.
-CHUNK_CACHE, WORD_CACHE = 40_000, 400_000
+#: Bytes that one of the two generations of a worker's words and chunks may hold, and what an entry takes beside its key.
+WORD_BYTES, CHUNK_BYTES, ENTRY_BYTES = 24 << 20, 8 << 20, 300
 #: White space at which words may be parted: it never joins with what stands beside it.
 _SPACE = re.compile(rb"[ \t\n\r]")
 #: Punctuation that never joins with the letters before it (an apostrophe may).
@@ -62,37 +66,65 @@ def chunk_cuts(data: bytes, bits: int = CHUNK_BITS) -> list[int]:
     return [*hit[raw[hit] & 0xC0 != 0x80].tolist(), len(raw)]
 
 
-class _Cache(dict):
-    """A dictionary that drops its older half when it is full."""
+class _Held:
+    """Encodings in two generations: what is used again moves to the younger one, the older is dropped when that is full."""
 
     def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
+        self.young: dict[bytes, tuple] = {}
+        self.old: dict[bytes, tuple] = {}
+        self.limit, self.size = limit, 0
+
+    def turn(self) -> None:
+        """Between slices: bound both generations by their bytes."""
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+
+    def find(self, key: bytes) -> tuple | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: bytes, value: tuple) -> None:
+        self.young[key] = value
+        self.size += ENTRY_BYTES + len(key)
 
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            for key in list(self)[: len(self) // 2]:
-                del self[key]
+
+def parts_at_space(spec: dict) -> bool:
+    """Whether a vocabulary surely gives words between white space the same tokens wherever they stand.
+
+    It must lower case, read white space as a blank, drop it in the split into words, and merge
+    inside words only; then a join is exact once it reaches white space on both sides.
+    """
+    steps = spec["normalizer"] or {}
+    steps = steps.get("normalizers", [steps])
+    plain = all(x.get("type") in ("NFC", "Lowercase") or x.get("type") == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in steps)
+    split = spec["pre_tokenizer"] or {}
+    split = split.get("pretokenizers", [split])
+    first = split[0].get("pattern", {}).get("Regex", r"\s")
+    parted = split[0].get("behavior") == "Removed" and split[0].get("invert") and not regex.search(first, " \t\n\r")
+    later = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in split[1:])
+    letters = regex.findall(first, "word.,!?;:%&*$#") == ["word", ".,!?;:%&*$#"]
+    return bool(plain and any(x.get("type") == "Lowercase" for x in steps) and parted and later and letters and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]) and spec["decoder"] is None)
 
 
 class ChunkEncoder:
-    """Encodes texts to strings of ids and of tokens, each joined by one space."""
+    """Encodes texts to strings of ids and of tokens, each joined by one space; only counts with ``counts_only``."""
 
-    def __init__(self, vocabulary: str, bits: int = CHUNK_BITS):
+    def __init__(self, vocabulary: str, bits: int = CHUNK_BITS, counts_only: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.bits = bits
-        spec = json.loads(self.tokenizer.to_str())
-        if spec["decoder"] is not None:
-            raise ValueError("only vocabularies without a decoder join their tokens by spaces")
+        self.bits, self.counts_only = bits, counts_only
+        if not parts_at_space(json.loads(self.tokenizer.to_str())):
+            raise ValueError("chunk joins are exact only for vocabularies that lower case, part words at white space and have no decoder")
         size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
-        self.id_texts = [str(i) for i in range(size)]
-        self.id_tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
-        self.words: _Cache = _Cache(WORD_CACHE)
-        self.chunks: _Cache = _Cache(CHUNK_CACHE)
+        self.id_texts = [] if counts_only else [str(i) for i in range(size)]
+        self.id_tokens = [] if counts_only else [self.tokenizer.id_to_token(i) for i in range(size)]
+        self.held_words, self.held_chunks = _Held(WORD_BYTES), _Held(CHUNK_BYTES)
+        self.words = self.held_words.young
         self.encoded_chunks = self.reused_chunks = 0
 
     def learn(self, words: Iterable[bytes]) -> None:
@@ -101,33 +133,41 @@ class ChunkEncoder:
         An ASCII word with closing punctuation gives the tokens of its lower-case letters and
         of the punctuation: the vocabulary lowers case and parts both anyway.
         """
-        held, parted, plain = self.words, {}, set()
+        find, parted, plain = self.held_words.find, {}, set()
         for word in words:
+            if find(word) is not None:
+                continue
             core = word.rstrip(_CLOSING)
             if core.isalpha() and (low := core.lower()) != word:
                 parted[word] = (low, word[len(core) :])
                 plain.update(parted[word])
             else:
                 plain.add(word)
-        self._encode([w for w in plain if w and w not in held])
+        self._encode([w for w in plain if w and find(w) is None])
+        held, put = self.words, self.held_words.put
         for word, (low, rest) in parted.items():
             a = held[low]
             b = held[rest] if rest else (0, "", "")
-            held[word] = (a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}") if b[0] else a
+            put(word, (a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}") if b[0] else a)
 
     def _encode(self, new: list[bytes]) -> None:
         """Encode words, a thousand in one call."""
+        put = self.held_words.put
         for at in range(0, len(new), 1000):
             part = [w.decode("utf-8", "surrogatepass") for w in new[at : at + 1000]]
-            line = " ".join(part)
-            got = self.tokenizer.encode(line, add_special_tokens=False)
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             starts = np.cumsum([0] + [len(w) + 1 for w in part])
             first = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(got))
-            ends = np.searchsorted(first, starts[1:]).tolist()
-            found, begin = got.ids, 0
+            ends, begin = np.searchsorted(first, starts[1:]).tolist(), 0
+            if self.counts_only:
+                for word, end in zip(new[at : at + 1000], ends, strict=True):
+                    put(word, (end - begin, "", ""))
+                    begin = end
+                continue
+            found = got.ids
             ids, tokens = [self.id_texts[i] for i in found], [self.id_tokens[i] for i in found]
             for word, end in zip(new[at : at + 1000], ends, strict=True):
-                self.words[word] = (end - begin, " ".join(ids[begin:end]), " ".join(tokens[begin:end]))
+                put(word, (end - begin, " ".join(ids[begin:end]), " ".join(tokens[begin:end])))
                 begin = end
 
     def _cut(self, data: bytes) -> list[bytes]:
@@ -139,15 +179,17 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> list[tuple[int, str, str]]:
         """(tokens, ids, token strings) of each text."""
-        self.words.trim()
-        self.chunks.trim()
+        self.held_words.turn()
+        self.held_chunks.turn()
+        self.words = self.held_words.young
+        find = self.held_chunks.find
         parts: dict[bytes, tuple[bytes, list[bytes], bytes] | None] = {}
-        plans: list[list[tuple[str, bytes]]] = []
+        plans: list[list[tuple[bool, bytes]]] = []
         wanted: set[bytes] = set()
         for data in texts:
             carry, plan = b"", []
             for chunk in self._cut(data):
-                held = self.chunks.get(chunk)
+                held = find(chunk)
                 if held is not None:
                     self.reused_chunks += 1
                     head, tail = held[0], held[1]
@@ -165,26 +207,27 @@ class ChunkEncoder:
                         continue
                     head, tail = parts[chunk][0], parts[chunk][2]
                 if joined := carry + head:
-                    plan.append(("word", joined))
+                    plan.append((True, joined))
                     wanted.add(joined)
-                plan.append(("chunk", chunk))
+                plan.append((False, chunk))
                 carry = tail
             if carry:
-                plan.append(("word", carry))
+                plan.append((True, carry))
                 wanted.add(carry)
             plans.append(plan)
-        words = self.words
-        self.learn(w for w in wanted if w not in words)
+        self.learn(wanted)
+        words, chunks = self.words, self.held_chunks.young
         for chunk, part in parts.items():
             if part:
                 got = [words[w] for w in part[1]]
-                self.chunks[chunk] = (part[0], part[2], (sum(g[0] for g in got), " ".join(g[1] for g in got if g[0]), " ".join(g[2] for g in got if g[0])))
-        out = []
-        for plan in plans:
-            got = [words[key] if kind == "word" else self.chunks[key][2] for kind, key in plan]
-            got = [g for g in got if g[0]]
-            out.append((sum(g[0] for g in got), " ".join(g[1] for g in got), " ".join(g[2] for g in got)))
-        return out
+                self.held_chunks.put(chunk, (part[0], part[2], self._sum(got)))
+        return [self._sum([words[key] if is_word else chunks[key][2] for is_word, key in plan]) for plan in plans]
+
+    def _sum(self, got: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+        if self.counts_only:
+            return sum([g[0] for g in got]), "", ""
+        got = [g for g in got if g[0]]
+        return sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
 
 
 ENCODED = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
@@ -219,5 +262,11 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, keep: bool
 
 
 def token_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id and n_tokens of every whole text."""
-    return encode_documents(docs, vocabulary).select("doc_id", F.col("n_tokens"))
+    """doc_id and n_tokens of every whole text; ids and tokens are not written out."""
+    place = vocabulary or default_vocabulary()
+
+    def make():
+        encoder = ChunkEncoder(place, counts_only=True)
+        return lambda cols: {"doc_id": cols["doc_id"], "n_tokens": [g[0] for g in encoder.encode([text_bytes(t) for t in cols["text"]])]}
+
+    return arrow_map(docs, ["doc_id", "text"], make, struct(("doc_id", T.LongType()), ENCODED[0]))

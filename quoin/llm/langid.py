@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm._base import arrow_map, crc_part, sample_ids, struct
+from quoin.llm._base import arrow_map, crc_part, release, sample_ids, slices, struct
 from quoin.llm._subwords import gram_lists, gram_means
 
 UNDETERMINED = "und"
@@ -34,7 +34,7 @@ SIZES = (2, 3, 4)
 #: Calibrated scores below this are rejected: no language is likelier than all others together.
 REJECT_BELOW = 0.4
 _LETTERS = re.compile(r"[^\W\d_]{1,40}")
-_WORD_CACHE = 300_000
+_WORD_CACHE = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -188,11 +188,12 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
         score = Scorer(model)
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in slices(batch):
                 texts = part.column(at).to_pylist()
                 got = score(texts) if model.languages else [(UNDETERMINED, 0.0, True)] * len(texts)
                 yield part.filter(pa.array([not g[2] for g in got]))
+        del score
+        release()
 
     return docs.mapInArrow(run, kind)
 

@@ -39,7 +39,7 @@ WORDS, SIMILARITY = 5, 0.8
 RECALL, MOST_HASHES = 0.998, 140
 BLOCK = 48
 _WORD = re.compile(r"\w+")
-_CACHE = 200_000
+_CACHE = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

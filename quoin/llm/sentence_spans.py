@@ -5,7 +5,7 @@ words of the text, a part ends at the one with the least hash (the last of equal
 ones). So no part has over ``WINDOW`` words, and parts depend on near words only
 and agree wherever a passage stands. From every part a run of consecutive ones
 begins, the shortest that has two parts and ``LEAST_WORDS`` words. Runs are
-hashed and sorted by hash over the whole table; the first run of a hash (least
+hashed and joined on the hash over the whole table; the first run of a hash (least
 doc_id, then place) stays, and every part that any other run of that hash covers
 is removed.
 
@@ -15,9 +15,12 @@ the first of them begins within ``WINDOW`` words, and a run has at most
 ``LEAST_WORDS + WINDOW - 1``. At the end of a repeated passage fewer than two
 windows of words may stay.
 
-Null and empty texts have no run and are kept as they are. Rows that repeat a
-doc_id with the same text hold the same first runs and are all kept. An empty
-table gives an empty result.
+Null and empty texts, and rows without a doc_id, have no run and are kept as
+they are. Rows of one doc_id count as one document: what its rows repeat of each
+other stays, and each row, whatever its text, loses what lesser documents or
+earlier places of its own text hold. Texts are read whole, whatever their
+length. Only doc_id and text are read, so other columns may have any name. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,17 +29,19 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm._base import arrow_map, struct
+from quoin.llm._base import arrow_map, checkpointed, stored, struct
 
 LEAST_WORDS, LEAST_SENTENCES = 20, 2
 #: Of so many consecutive words one ends a part; a power of two, and the largest for passages of 50 words.
 WINDOW = 8
 #: Words whose hashes a worker holds.
-HELD_WORDS = 200_000
+HELD_WORDS = 100_000
+#: Runs of one hash that one task joins, and the most hashes that are split (the commonest; their list is broadcast).
+HOT_ROWS, HOT_HASHES = 10_000, 100_000
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _TOKEN = re.compile(r"\S+")
 
@@ -105,30 +110,49 @@ def runs(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     return out
 
 
-RUNS = struct(("h", T.LongType()), ("doc_id", T.LongType()), ("at", T.IntegerType()), ("n", T.IntegerType()))
+RUNS = struct(("h", T.LongType()), ("doc_id", T.LongType()), ("t", T.LongType()), ("at", T.IntegerType()), ("n", T.IntegerType()), ("again", T.BooleanType()))
 
 
 def sentence_runs(docs: DataFrame) -> DataFrame:
-    """Every run of every text: h, doc_id, at, n."""
+    """Every run of every text: h, doc_id, t (hash of the text), at, n, and whether the text had the run before."""
 
     def make():
         def step(cols):
-            rows = [(h, key, i, n) for key, text in zip(cols["doc_id"], cols["text"], strict=True) if text for h, i, n in runs(text, sentences(text))]
+            rows = []
+            for key, t, text in zip(cols["doc_id"], cols["t"], cols["text"], strict=True):
+                seen: set[int] = set()
+                for h, i, n in runs(text, sentences(text)) if text else ():
+                    rows.append((h, key, t, i, n, h in seen))
+                    seen.add(h)
             return {f.name: [r[k] for r in rows] for k, f in enumerate(RUNS)}
 
         return step
 
-    return arrow_map(docs, ["doc_id", "text"], make, RUNS)
+    return arrow_map(_keyed(docs).filter(F.col("doc_id").isNotNull()), ["doc_id", "t", "text"], make, RUNS)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
 
 
 def covered_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id and its covered runs as an array of (at, n), for documents that have any."""
-    found = sentence_runs(docs.filter(F.col("doc_id").isNotNull()))
-    # Sorted by place, the first row of a hash is its first run: one shuffle, and runs are made once.
-    so_far = Window.partitionBy("h").orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = found.withColumn("d", F.first("doc_id").over(so_far)).withColumn("p", F.first("at").over(so_far))
-    later = placed.filter((F.col("doc_id") != F.col("d")) | (F.col("at") != F.col("p")))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("covered"))
+    """doc_id, t and the covered runs of that text as an array of (at, n), for texts that have any.
+
+    The array has at most one pair for each part of its text. Least documents are
+    combined on the map side; a hash with over ``HOT_ROWS`` runs is dealt to several tasks.
+    """
+    found = stored(sentence_runs(docs))
+    fresh = found.filter(~F.col("again"))
+    firsts = fresh.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    firsts = checkpointed(firsts.withColumn("salts", F.ceil(F.col("rows") / HOT_ROWS).cast("int")))
+    # At most HOT_HASHES rows; a hash beyond them has under 1 / HOT_HASHES of all runs, and is joined as it is.
+    hot = firsts.filter("salts > 1").orderBy(F.desc("rows"), "h").limit(HOT_HASHES).select("h", "salts")
+    salts = F.coalesce("salts", F.lit(1))
+    each = firsts.select("h", "first").join(F.broadcast(hot), "h", "left").select("h", "first", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = fresh.join(F.broadcast(hot), "h", "left").select("h", "doc_id", "t", "at", "n", F.pmod(F.xxhash64("doc_id", "at"), salts).cast("int").alias("salt"))
+    later = dealt.join(each, ["h", "salt"]).filter("doc_id > first").select("doc_id", "t", "at", "n")
+    own = found.filter("again").select("doc_id", "t", "at", "n")
+    return later.union(own).groupBy("doc_id", "t").agg(F.collect_set(F.struct("at", "n")).alias("covered"))
 
 
 def without_covered(text: str | None, covered: list[tuple[int, int]] | None) -> tuple[str | None, int, list[tuple[int, int]]]:
@@ -156,7 +180,7 @@ KEPT = struct(("doc_id", T.LongType()), ("text", T.StringType()), ("n_removed",
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """Every document: doc_id, text that stays, n_removed sentences, removed spans as start:end joined by commas."""
-    joined = docs.select("doc_id", "text").join(covered_sentences(docs), "doc_id", "left")
+    joined = _keyed(docs).join(covered_sentences(docs), ["doc_id", "t"], "left")
 
     def make():
         def step(cols):

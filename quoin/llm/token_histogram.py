@@ -1,6 +1,6 @@
 """Exact token-length histogram with suffix sums.
 
-Documents are aggregated by encoded length; from the histogram, sums over all
+Documents are aggregated by encoded length (only counts leave the encoder); from the histogram, sums over all
 longer lengths answer totals, quantiles and truncated totals for every context
 limit without another pass over the texts.
 

@@ -160,6 +160,23 @@ def test_bpe_is_the_library(spark, texts):
         want = tok.encode(text, add_special_tokens=False)
         assert (n, ids, decoded) == (len(want.ids), " ".join(map(str, want.ids)), tok.decode(want.ids, skip_special_tokens=False))
     assert encoder.reused_chunks > 0
+    counts = bpe_chunks.ChunkEncoder(bpe_chunks.default_vocabulary(), bits=4, counts_only=True)
+    assert [g[0] for g in counts.encode([t.encode() for t in held])] == [len(tok.encode(t, add_special_tokens=False).ids) for t in held]
+
+
+def test_bpe_caches_and_vocabulary(monkeypatch, texts):
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe_chunks, "WORD_BYTES", 20_000)
+    monkeypatch.setattr(bpe_chunks, "CHUNK_BYTES", 20_000)
+    held = [t.encode() for t in list(texts.values())[:60] if t]
+    small = bpe_chunks.ChunkEncoder(bpe_chunks.default_vocabulary())
+    monkeypatch.undo()
+    whole = bpe_chunks.ChunkEncoder(bpe_chunks.default_vocabulary())
+    assert [g for t in held for g in small.encode([t])] == whole.encode(held)
+    assert len(small.held_words.young) < len(whole.held_words.young)
+    with pytest.raises(ValueError, match="white space"):  # this one keeps blanks and case in its tokens
+        bpe_chunks.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_bpe_odd_rows_and_histogram(spark, odd):
@@ -405,6 +422,28 @@ def test_substring_dedup(spark, odd):
     assert sentence_spans.dedup_substrings(odd.limit(0)).count() == 0
 
 
+def test_span_rows_of_one_id_and_hot_runs(spark, monkeypatch):
+    monkeypatch.setattr(sentence_spans, "HOT_ROWS", 5)  # so that a common run is dealt to several tasks
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" + "." * (i % 9 == 8) for i in range(n))
+    common, own = prose(60), [prose(40) for _ in range(30)]
+    rows = [(i, f"{own[i]}\n{common}\n{own[i][::-1]}") for i in range(30)] + [(3, prose(500)), (4, f"{common}\n{common}"), (None, common)]
+    got = defaultdict(list)
+    for r in sentence_spans.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append(r)
+    texts = defaultdict(list)
+    for d, t in rows:
+        texts[d].append(t)
+    assert {d: len(v) for d, v in got.items()} == {d: len(v) for d, v in texts.items()}
+    assert got[0][0]["text"] == texts[0][0]
+    assert got[None][0]["text"] == common
+    assert rows[30][1] in [r["text"] for r in got[3]]
+    inner = " ".join(common.split()[16:44])
+    for d in range(1, 30):
+        assert all(inner not in " ".join(r["text"].split()) for r in got[d])
+        assert any(own[d].split()[0] == r["text"].split()[0] for r in got[d])
+
+
 def test_passages_of_50_words_share_a_run():
     rng, found = random.Random(5), lambda t: {r[0] for r in sentence_spans.runs(t, sentence_spans.sentences(t))}
     for marks in [(), (17, 36), (12, 24, 31), *[sorted(rng.sample(range(1, 50), rng.randrange(6))) for _ in range(400)]]:

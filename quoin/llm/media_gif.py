@@ -3,8 +3,10 @@
 ``decode_gif`` reads any GIF87a/89a byte string into composited frames;
 ``gif_frames`` turns a binary column into one row per frame with start time,
 duration and a colour histogram; ``encode_gray_gif`` stores 8-bit samples
-losslessly. Null or empty bytes give no frame; bytes that break off give the
-frames that are whole.
+losslessly in frames that are drawn over each other. Null or empty bytes give no
+frame; bytes that break off give the frames that are whole. Screens and frames
+of over ``MOST_PIXELS`` pixels are refused (no further frame): a header of a few
+bytes may claim some four thousand million.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import types as T
 from quoin.llm._base import arrow_map, struct, text_bytes
 
 #: Samples in a row of a stored payload, and rows in one of its frames.
-ROW_SAMPLES, FRAME_ROWS = 64, 512
+ROW_SAMPLES, FRAME_ROWS = 64, 64
+#: Most pixels that a screen or a frame may claim; memory is three bytes for each, a few times over.
+MOST_PIXELS = 1 << 24
 #: Duration of a payload frame in hundredths of a second.
 FRAME_DELAY_CS = 4
 #: Colour histogram bins for each of red, green and blue.
@@ -56,44 +60,34 @@ def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
     return out[:-2].astype(np.uint8).tobytes()
 
 
-def lzw_encode(samples: bytes, min_code_size: int = 8, adaptive: bool = True) -> bytes:
-    """The LZW code stream of samples below ``2 ** min_code_size``.
-
-    ``adaptive`` gives the usual longest-match parse. Without it the parse is
-    one literal per sample and the table is cleared before codes would widen:
-    an equally valid stream, about 13 % larger than the samples, made by array
-    operations alone.
-    """
+def lzw_encode(samples: bytes, min_code_size: int = 8) -> bytes:
+    """The LZW code stream of samples below ``2 ** min_code_size``, by longest matches; the table is cleared when it is full."""
     clear = 1 << min_code_size
-    if not adaptive:
-        run = clear - 2
-        values = np.frombuffer(samples, dtype=np.uint8).astype(np.int64)
-        codes = np.append(np.insert(values, np.arange(0, len(values), run), clear), clear + 1)
-        return _packed(codes, np.full(len(codes), min_code_size + 1))
     room = TABLE_LIMIT - clear - 2
     segments: list[list[int]] = [[clear]]
     codes: list[int] = []
-    known: dict[int, int] = {}
-    prefix = -1
-    for sample in samples:
-        if prefix < 0:
-            prefix = sample
-            continue
-        key = prefix * 256 + sample
+    known: dict[int, int] = {}  # keys and codes stand eight bits higher, so that a sample fits below
+    first, fresh = (clear + 2) << 8, (clear + 2) << 8
+    rest = iter(samples)
+    prefix = next(rest, -1) << 8
+    for sample in rest:
+        key = prefix | sample
         if key in known:
             prefix = known[key]
-            continue
-        codes.append(prefix)
-        known[key] = clear + 1 + len(codes)
-        prefix = sample
-        if len(codes) >= room:
-            codes.append(clear)
-            segments.append(codes)
-            codes, known = [], {}
+        else:
+            codes.append(prefix)
+            known[key] = fresh
+            fresh += 256
+            prefix = sample << 8
+            if len(codes) >= room:
+                codes.append(clear << 8)
+                segments.append([c >> 8 for c in codes])
+                codes, fresh = [], first
+                known.clear()
     if prefix >= 0:
         codes.append(prefix)
-    codes.append(clear + 1)
-    segments.append(codes)
+    codes.append((clear + 1) << 8)
+    segments.append([c >> 8 for c in codes])
     steps = _code_widths(min_code_size, TABLE_LIMIT + 2)
     return _packed(np.array([c for s in segments for c in s], dtype=np.int64), np.concatenate([steps[: len(s)] for s in segments]))
 
@@ -122,61 +116,49 @@ def _segment(raw: np.ndarray, at: int, bits: int, min_code_size: int, steps: np.
         at, first, window = int(ends[-1]), first + window, window * 4
 
 
-def _literals(raw: np.ndarray, bits: int, min_code_size: int) -> tuple[bytes, int, bool]:
-    """The samples of the leading segments that hold literals only and are cleared before codes widen.
+def _phrases(codes: np.ndarray, clear: int, limit: int) -> tuple[np.ndarray, bool]:
+    """The samples of the codes between two clear codes, at most some ``limit``, and whether all codes are sound.
 
-    Also the bit after them and whether the stream goes on there.
+    The table's entry j is the phrase of code j and the first sample after it, so a code that
+    names entry j repeats the output from where phrase j began. Lengths, and then the places
+    that samples come from, follow by pointer doubling.
     """
-    clear, width = 1 << min_code_size, min_code_size + 1
-    begin = np.arange(bits // width) * width
-    byte = begin >> 3
-    codes = (raw[byte] | raw[byte + 1] << 8) >> (begin & 7) & (1 << width) - 1
-    stops = np.flatnonzero(codes >> 1 == clear >> 1)
-    wide = np.diff(stops, prepend=-1) > clear - 1
-    bad = np.flatnonzero(codes > clear + 1)
-    good = stops[: int(np.argmax(wide)) if wide.any() else len(stops)]
-    good = good[: int(np.searchsorted(good, bad[0]))] if len(bad) else good
-    ended = np.flatnonzero(codes[good] == clear + 1)
-    good = good[: ended[0] + 1] if len(ended) else good
-    if not len(good):
-        return b"", 0, True
-    held = codes[: good[-1] + 1]
-    return held[held < clear].astype(np.uint8).tobytes(), int(good[-1] + 1) * width, not len(ended)
+    entry = codes - clear - 2
+    wrong = np.flatnonzero((entry >= np.arange(len(codes))) | (entry >= TABLE_LIMIT - clear - 2))
+    sound = not len(wrong)
+    if not sound:
+        codes, entry = codes[: wrong[0]], entry[: wrong[0]]
+    literal = entry < 0
+    back, length = np.where(literal, np.arange(len(codes)), entry), (~literal).astype(np.int64)
+    while not literal[back].all():
+        length, back = length + length[back], back[back]
+    ends = np.cumsum(length + 1)
+    if len(ends) and ends[-1] > limit:
+        fit = int(np.searchsorted(ends, limit)) + 1
+        codes, entry, literal, length, ends = codes[:fit], entry[:fit], literal[:fit], length[:fit], ends[:fit]
+    starts = ends - length - 1
+    of = np.repeat(np.arange(len(codes)), length + 1)
+    at = np.arange(len(of))
+    source = np.where(literal[of], at, starts[np.maximum(entry, 0)][of] + at - starts[of])
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            break
+        source = further
+    return codes[of[source]].astype(np.uint8), sound
 
 
 def lzw_decode(stream: bytes, min_code_size: int, limit: int) -> bytes:
     """The first ``limit`` samples of an LZW code stream; a broken stream gives what precedes the fault."""
-    clear = 1 << min_code_size
     raw = np.frombuffer(stream + b"\0\0\0", dtype=np.uint8).astype(np.int64)
     steps = _code_widths(min_code_size, TABLE_LIMIT + 2)
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    got, at, goes_on = _literals(raw, len(stream) * 8, min_code_size)
-    parts, size = [got], len(got)
+    parts, size, at, goes_on = [], 0, 0, True
     while goes_on and size < limit:
         codes, at, goes_on = _segment(raw, at, len(stream) * 8, min_code_size, steps)
-        if not len(codes):
-            continue
-        if codes.max() < clear:  # literals only: the table is never looked up
-            parts.append(codes.astype(np.uint8).tobytes())
-            size += len(codes)
-            continue
-        strings, before = base[:], b""
-        for code in codes.tolist():
-            known = len(strings)
-            if code < known:
-                now = strings[code]
-                if before and known < TABLE_LIMIT:
-                    strings.append(before + now[:1])
-            elif code == known and before and known < TABLE_LIMIT:
-                now = before + before[:1]
-                strings.append(now)
-            else:
-                return b"".join(parts)[:limit]
-            parts.append(now)
-            size += len(now)
-            before = now
-            if size >= limit:
-                break
+        if len(codes):
+            got, sound = _phrases(codes, 1 << min_code_size, limit - size)
+            parts.append(got.tobytes())
+            size, goes_on = size + len(got), goes_on and sound
     return b"".join(parts)[:limit]
 
 
@@ -219,6 +201,8 @@ def decode_gif(data: bytes | None) -> Iterator[Frame]:
     if not data or data[:3] != b"GIF" or len(data) < 13:
         return
     wide, high, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
+    if wide * high > MOST_PIXELS:
+        return
     at, shared = 13, None
     if flags & 128:
         size = 2 << (flags & 7)
@@ -244,7 +228,7 @@ def decode_gif(data: bytes | None) -> Iterator[Frame]:
             if at >= len(data):
                 return
             code_size, (stream, at) = data[at], _sub_blocks(data, at + 1)
-            if not 1 <= code_size <= 8:
+            if not 1 <= code_size <= 8 or width * height > MOST_PIXELS:
                 return
             got = lzw_decode(stream, code_size, width * height)
             if len(got) < width * height or palette is None:
@@ -278,19 +262,43 @@ def colour_histogram(frame: Frame, levels: int = HIST_LEVELS) -> list[int]:
     return np.bincount((step[:, 0] * levels + step[:, 1]) * levels + step[:, 2], minlength=levels**3).tolist()
 
 
+def _spare_level(payload: bytes) -> int | None:
+    """The highest sample value that the payload does not use, to stand for transparent; UTF-8 leaves 255 free."""
+    free = np.flatnonzero(np.bincount(np.frombuffer(payload, np.uint8), minlength=256) == 0)
+    return int(free[-1]) if len(free) else None
+
+
 def encode_gray_gif(payload: bytes) -> bytes:
-    """A GIF89a whose frames hold the payload, 64 gray samples a row and 512 rows a frame at most."""
-    rows = len(payload) // ROW_SAMPLES
+    """A GIF89a whose frames hold the payload, 64 gray samples a row and ``FRAME_ROWS`` rows a frame at most.
+
+    A sample that already stands on the canvas is stored as transparent. After each frame the
+    canvas is restored if that shows more samples of the next frame than leaving it, and cleared
+    if neither shows any and the next frame would not cover it.
+    """
+    rows, spare = len(payload) // ROW_SAMPLES, _spare_level(payload)
     parts = [b"GIF89a", ROW_SAMPLES.to_bytes(2, "little"), min(rows, FRAME_ROWS).to_bytes(2, "little"), b"\xf7\0\0"]
     parts.append(GRAY_PALETTE)
+    levels = np.frombuffer(payload, np.uint8).astype(np.int16).reshape(-1, ROW_SAMPLES)
+    canvas = np.full((min(rows, FRAME_ROWS), ROW_SAMPLES), -1, np.int16)  # -1: nothing is drawn there
     for top in range(0, rows, FRAME_ROWS):
-        block = payload[top * ROW_SAMPLES : (top + FRAME_ROWS) * ROW_SAMPLES]
-        parts += [b"\x21\xf9\x04\x08", FRAME_DELAY_CS.to_bytes(2, "little"), b"\0\0\x2c\0\0\0\0", ROW_SAMPLES.to_bytes(2, "little")]
-        parts += [(len(block) // ROW_SAMPLES).to_bytes(2, "little"), b"\0\x08"]
-        stream = lzw_encode(block, adaptive=False)
+        block, later = levels[top : top + FRAME_ROWS], levels[top + FRAME_ROWS : top + 2 * FRAME_ROWS]
+        below = canvas.copy()
+        there = canvas[: len(block)] == block
+        seen = spare is not None and bool(there.any())
+        stored = np.where(there, spare, block) if seen else block
+        canvas[: len(block)] = block
+        left, restored = ((c[: len(later)] == later).sum() for c in (canvas, below))
+        disposal = 3 if restored > left else 2 if not left and 0 < len(later) < len(block) else 1
+        parts += [b"\x21\xf9\x04", bytes([disposal << 2 | seen]), FRAME_DELAY_CS.to_bytes(2, "little"), bytes([spare if seen else 0]), b"\0\x2c\0\0\0\0", ROW_SAMPLES.to_bytes(2, "little")]
+        parts += [len(block).to_bytes(2, "little"), b"\0\x08"]
+        stream = lzw_encode(stored.astype(np.uint8).tobytes())
         for i in range(0, len(stream), 255):
             parts += [bytes([len(stream[i : i + 255])]), stream[i : i + 255]]
         parts.append(b"\0")
+        if disposal == 2:
+            canvas[: len(block)] = -1
+        elif disposal == 3:
+            canvas = below
     return b"".join([*parts, b"\x3b"])
 
 
@@ -316,32 +324,34 @@ def gif_frames(df: DataFrame, id_column: str, media_column: str, levels: int = H
     return arrow_map(df, [id_column, media_column], make, schema, slice_rows=16)
 
 
-MEDIA_SCHEMA = struct(("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("n_frames", T.IntegerType()), ("duration_ms", T.LongType()), ("histogram", T.ArrayType(T.LongType())))
+#: A stored frame: number, time, what becomes of it, which index is transparent, visible pixels and their colours.
+STORED_FRAME = struct(("frame", T.IntegerType()), ("start_ms", T.LongType()), ("delay_ms", T.LongType()), ("disposal", T.IntegerType()), ("transparent", T.IntegerType()), ("n_visible", T.LongType()), ("histogram", T.ArrayType(T.LongType())))
+MEDIA_SCHEMA = struct(("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("n_frames", T.IntegerType()), ("duration_ms", T.LongType()), ("frames", T.ArrayType(STORED_FRAME)))
 
 
 def stored_text(text: str | None) -> tuple:
     """A text stored as GIF, read back and measured: the columns of ``MEDIA_SCHEMA`` after doc_id."""
     raw = text_bytes(text)
     media = encode_gray_gif(raw + bytes(-len(raw) % ROW_SAMPLES if raw else ROW_SAMPLES))
-    digest, total, frames, lasts, tail = hashlib.sha256(), 0, 0, 0, b""
-    histogram = np.zeros(HIST_LEVELS**3, np.int64)
+    digest, total, ends, tail, frames = hashlib.sha256(), 0, 0, b"", []
+    shades = np.zeros(HIST_LEVELS, np.int64)
     for frame in decode_gif(media):
         # The canvas is gray, so one channel over the frame's own box is the payload again.
         back = frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width, 0].tobytes()
         digest.update(back)
-        total, frames, lasts, tail = total + len(back), frames + 1, frame.start_ms + frame.delay_ms, back[-ROW_SAMPLES:]
-        gray = np.bincount(np.frombuffer(back, np.uint8) >> 6, minlength=HIST_LEVELS)
-        histogram[:: HIST_LEVELS**2 + HIST_LEVELS + 1] += gray
-    shares = histogram[:: HIST_LEVELS**2 + HIST_LEVELS + 1]
-    feature = f"frames={frames};ms={lasts};gray=" + ",".join(map(str, shares.tolist()))
-    return len(raw), total, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, frames, lasts, histogram.tolist()
+        total, ends, tail = total + len(back), frame.start_ms + frame.delay_ms, back[-ROW_SAMPLES:]
+        shades += np.bincount(np.frombuffer(back, np.uint8) >> 6, minlength=HIST_LEVELS)
+        frames.append({"frame": frame.index, "start_ms": frame.start_ms, "delay_ms": frame.delay_ms, "disposal": frame.disposal, "transparent": frame.transparent, "n_visible": int(frame.opaque.sum()), "histogram": colour_histogram(frame)})
+    feature = f"frames={len(frames)};ms={ends};gray=" + ",".join(map(str, shades.tolist()))
+    return len(raw), total, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, len(frames), ends, frames
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Every text as a GIF of gray frames, read back: sizes, digests, timing and colour histogram.
+    """Every text as a GIF of gray frames, read back: sizes, digests, and its timed frames with colour histograms.
 
-    Null texts count as empty (one row of zeros); equal texts give equal values;
-    other columns of ``docs`` are not read.
+    Null texts count as empty (one row of zeros); equal texts give equal values, and
+    repeated rows repeat them; an empty table gives an empty result. Texts are stored
+    whole, whatever their length. Other columns of ``docs`` are not read.
     """
 
     def make():
@@ -351,4 +361,4 @@ def text_media(docs: DataFrame) -> DataFrame:
 
         return step
 
-    return arrow_map(docs, ["doc_id", "text"], make, MEDIA_SCHEMA)
+    return arrow_map(docs, ["doc_id", "text"], make, MEDIA_SCHEMA, slice_rows=64)

@@ -5,7 +5,7 @@ words of the text, a part ends at the one with the least hash (the last of equal
 ones). So no part has over ``WINDOW`` words, and parts depend on near words only
 and agree wherever a passage stands. From every part a run of consecutive ones
 begins, the shortest that has two parts and ``LEAST_WORDS`` words. Runs are
-hashed and joined on the hash over the whole table; the first run of a hash (least
+hashed and brought together by hash over the whole table; the first run of a hash (least
 doc_id, then place) stays, and every part that any other run of that hash covers
 is removed.
 
@@ -29,7 +29,7 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +40,9 @@ LEAST_WORDS, LEAST_SENTENCES = 20, 2
 WINDOW = 8
 #: Words whose hashes a worker holds.
 HELD_WORDS = 100_000
-#: Runs of one hash that one task joins, and the most hashes that are split (the commonest; their list is broadcast).
-HOT_ROWS, HOT_HASHES = 10_000, 100_000
+#: Runs of one hash that one task sorts; the most hashes that are dealt to several (the commonest, their list is
+#: broadcast; any other has under 1 / HOT_HASHES of all runs); and of how many documents one is counted for that.
+HOT_ROWS, HOT_HASHES, HOT_SAMPLE = 10_000, 100_000, 64
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _TOKEN = re.compile(r"\S+")
 
@@ -110,11 +111,16 @@ def runs(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     return out
 
 
-RUNS = struct(("h", T.LongType()), ("doc_id", T.LongType()), ("t", T.LongType()), ("at", T.IntegerType()), ("n", T.IntegerType()), ("again", T.BooleanType()))
+RUNS = struct(("h", T.LongType()), ("doc_id", T.LongType()), ("t", T.LongType()), ("place", T.LongType()))
 
 
 def sentence_runs(docs: DataFrame) -> DataFrame:
-    """Every run of every text: h, doc_id, t (hash of the text), at, n, and whether the text had the run before."""
+    """Every run of every text: h, doc_id, t (hash of the text) and place.
+
+    A place is one number, so that rows stay small in the shuffle: the first part times 256,
+    plus twice the number of parts (a run has at most ``LEAST_WORDS``), plus one if the text
+    had the run before.
+    """
 
     def make():
         def step(cols):
@@ -122,7 +128,7 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
             for key, t, text in zip(cols["doc_id"], cols["t"], cols["text"], strict=True):
                 seen: set[int] = set()
                 for h, i, n in runs(text, sentences(text)) if text else ():
-                    rows.append((h, key, t, i, n, h in seen))
+                    rows.append((h, key, t, i << 8 | n << 1 | (h in seen)))
                     seen.add(h)
             return {f.name: [r[k] for r in rows] for k, f in enumerate(RUNS)}
 
@@ -135,24 +141,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
 
 
+def hot_hashes(docs: DataFrame) -> DataFrame:
+    """h and the number of tasks that its runs are dealt to, for the commonest hashes: at most ``HOT_HASHES`` rows.
+
+    Counted on one document in ``HOT_SAMPLE``, chosen by hash: it only says how rows are dealt,
+    and no result depends on it.
+    """
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(HOT_SAMPLE)) == 0)
+    counts = sentence_runs(some).groupBy("h").agg((HOT_SAMPLE * F.count(F.lit(1))).alias("rows")).filter(F.col("rows") > HOT_ROWS)
+    return checkpointed(counts.orderBy(F.desc("rows"), "h").limit(HOT_HASHES).select("h", F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("salts")))
+
+
 def covered_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, t and the covered runs of that text as an array of (at, n), for texts that have any.
+    """doc_id, t and the covered runs of that text as an array of numbers (first part times 128, plus parts), for texts that have any.
 
-    The array has at most one pair for each part of its text. Least documents are
-    combined on the map side; a hash with over ``HOT_ROWS`` runs is dealt to several tasks.
+    The array has at most one number for each part of its text. Runs are made and shuffled
+    once, a common hash to several tasks; sorted by document, the first row is the least.
     """
-    found = stored(sentence_runs(docs))
-    fresh = found.filter(~F.col("again"))
-    firsts = fresh.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    firsts = checkpointed(firsts.withColumn("salts", F.ceil(F.col("rows") / HOT_ROWS).cast("int")))
-    # At most HOT_HASHES rows; a hash beyond them has under 1 / HOT_HASHES of all runs, and is joined as it is.
-    hot = firsts.filter("salts > 1").orderBy(F.desc("rows"), "h").limit(HOT_HASHES).select("h", "salts")
+    hot = hot_hashes(docs)
     salts = F.coalesce("salts", F.lit(1))
-    each = firsts.select("h", "first").join(F.broadcast(hot), "h", "left").select("h", "first", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    dealt = fresh.join(F.broadcast(hot), "h", "left").select("h", "doc_id", "t", "at", "n", F.pmod(F.xxhash64("doc_id", "at"), salts).cast("int").alias("salt"))
-    later = dealt.join(each, ["h", "salt"]).filter("doc_id > first").select("doc_id", "t", "at", "n")
-    own = found.filter("again").select("doc_id", "t", "at", "n")
-    return later.union(own).groupBy("doc_id", "t").agg(F.collect_set(F.struct("at", "n")).alias("covered"))
+    dealt = sentence_runs(docs).join(F.broadcast(hot), "h", "left").select(*RUNS.names, F.when(salts > 1, F.pmod(F.xxhash64("doc_id", "place"), salts).cast("int") + 1).otherwise(0).alias("salt"))
+    so_far = Window.partitionBy("h", "salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt.withColumn("first", F.first("doc_id").over(so_far))
+    later = (F.col("doc_id") > F.col("first")) | (F.col("place") % 2 == 1)
+    # Of a dealt hash every task has a first document; the least of these is the first of all.
+    kept = stored(placed.select(F.when(~later, F.col("h")).alias("h"), "doc_id", "t", F.shiftright("place", 1).alias("place"), "salt", later.alias("later")).filter("later OR salt > 0"))
+    open_ = kept.filter("NOT later")
+    least = open_.groupBy("h").agg(F.min("doc_id").alias("first"))  # one row for each hash of ``hot`` at most
+    lost = open_.join(F.broadcast(least), "h").filter("doc_id > first")
+    covered = kept.filter("later").select("doc_id", "t", "place").union(lost.select("doc_id", "t", "place"))
+    return covered.groupBy("doc_id", "t").agg(F.collect_set("place").alias("covered"))
 
 
 def without_covered(text: str | None, covered: list[tuple[int, int]] | None) -> tuple[str | None, int, list[tuple[int, int]]]:
@@ -184,7 +202,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     def make():
         def step(cols):
-            got = [without_covered(t, [(c["at"], c["n"]) for c in cov] if cov else None) for t, cov in zip(cols["text"], cols["covered"], strict=True)]
+            got = [without_covered(t, [(c >> 7, c & 127) for c in cov] if cov else None) for t, cov in zip(cols["text"], cols["covered"], strict=True)]
             return {"doc_id": cols["doc_id"], "text": [g[0] for g in got], "n_removed": [g[1] for g in got], "removed": [",".join(f"{a}:{b}" for a, b in g[2]) for g in got]}
 
         return step

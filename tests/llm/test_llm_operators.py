@@ -480,6 +480,7 @@ def test_substring_dedup(spark, odd):
 
 def test_span_rows_of_one_id_and_hot_runs(spark, monkeypatch):
     monkeypatch.setattr(sentence_spans, "HOT_ROWS", 5)  # so that a common run is dealt to several tasks
+    monkeypatch.setattr(sentence_spans, "HOT_SAMPLE", 2)
     rng = random.Random(8)
     prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" + "." * (i % 9 == 8) for i in range(n))
     common, own = prose(60), [prose(40) for _ in range(30)]
@@ -490,6 +491,7 @@ def test_span_rows_of_one_id_and_hot_runs(spark, monkeypatch):
     texts = defaultdict(list)
     for d, t in rows:
         texts[d].append(t)
+    assert sentence_spans.hot_hashes(spark.createDataFrame(rows, "doc_id long, text string")).count() > 3
     assert {d: len(v) for d, v in got.items()} == {d: len(v) for d, v in texts.items()}
     assert got[0][0]["text"] == texts[0][0]
     assert got[None][0]["text"] == common

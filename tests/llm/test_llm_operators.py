@@ -427,6 +427,19 @@ def test_decontamination(spark, odd):
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(d, q).collect()} == {2, 3, 4, 5}
 
 
+def test_decontamination_of_shifted_and_short_items(spark):
+    long = "Natalia Brown sold 48 clips to John Smith in May and then Natalia Brown sold half as many clips to Anna while John Smith gave away 12 km of rope for every clip that they had counted before the end of June"
+    moved = "so Tom sold 50 clips to Peter in April and then Tom sold really half as many clips to Maria while Peter gave away 15 km of rope for every single clip that they had counted before the end of July"
+    cut = " ".join(w for i, w in enumerate(long.split()) if i not in (15, 29))
+    items = spark.createDataFrame([(1, long), (2, "What is 17 times 23?"), (3, "It is"), (4, "")], "item_id long, text string")
+    docs = [(1, moved), (2, cut), (3, "He asked: What is 17 times 23? Nobody knew."), (4, "He asked: what is 17 times 24? Nobody knew."), (5, "It is " + long.lower()[::-1]), (6, "Every word. " * 40 + long)]
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (6, 1)}
+    assert got[3, 2]
+    assert got[6, 1]
+    assert not got[1, 1]
+
+
 def test_decontamination_is_brute_force(spark, monkeypatch):
     docs, items = table(spark, SF1, "documents"), table(spark, SF1, "benchmark")
     words = lambda t: re.findall(r"\w+", (t or "").lower())

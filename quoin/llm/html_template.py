@@ -1,20 +1,30 @@
 """Main-text extraction by equivalence-class template deduction.
 
 Pages of a host are read in groups of at most ``GROUP_PAGES``. Their tokens
-(tags and words, told apart by the path of open elements) are grouped by their
-occurrence vectors, the counts in each page. Classes of tokens that occur in
-most pages, keep their order and do not overlap are valid; nested by the gaps
-they stand in, they are the template; blocks of two and more words that consist
-of its tokens alone are dropped. No slots are derived from the nested classes:
-which other blocks are main text is told by tag rules. A block belongs to it if
-it stands in an article or main element, where the page has one, unless its
-element, or one around it inside the article, is a menu, header, footer, sidebar,
-notice, advert, form, script, style or comment section.
-
-A host of over a thousandth of all pages is salted, so at most a thousand hosts
-are broadcast; every page still takes part in exactly one group. Groups of under
-``LEAST_PAGES`` pages have no template, only the rules on elements. Null html is
-empty; null urls form one host; repeated pages give repeated rows.
+(tags and words, told apart by the end of the path of open elements) are grouped
+by their occurrence vectors, the counts in each page. Classes of tokens that
+occur in most pages, keep their order and do not overlap are valid; nested by
+the gaps they stand in, those with one count in most pages, and so all classes
+around them, are the template.
+
+The gaps between consecutive template tokens are the slots. A slot is known by
+the token before it and which occurrence that is, so it is the same slot on every
+page, and by the template's sections that are open there. The slot that holds most
+words over the group's pages is the body of the article; the innermost section
+around it that also has a heading, or an article or main element, is the
+article. Its slots are extracted; blocks of template words alone are not.
+
+Rules on elements are the check beside that: a block is left out if its element, or
+one around it inside the article, is a menu, header, footer, sidebar, notice,
+advert, form, script, style or comment section, and where a page has an article
+or main element the block must stand in one.
+
+A host of over ``1 / HEAVY_SHARE`` of all pages is salted, so at most that many
+hosts are broadcast; every page still takes part in exactly one group. Groups of
+under ``LEAST_PAGES`` pages have no template, only the rules on elements. Null
+html is empty; null urls form one host; repeated pages give repeated rows; pages
+are read whole, whatever their length or depth. Only page_id, url and html are
+read, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm._base import struct
+from quoin.llm._base import release, struct
 
-GROUP_PAGES, LEAST_PAGES = 48, 4
+GROUP_PAGES, LEAST_PAGES = 48, 3
 #: Share of a group's pages in which a template token occurs, and least tokens of a class.
 SUPPORT, LEAST_SIZE = 0.9, 3
 #: Hosts with more than this share of all pages are salted.
-HEAVY_SHARE = 1000
+HEAVY_SHARE = 100_000
 
 # Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,7 +54,12 @@ RAW = frozenset("script style noscript template textarea title svg iframe".split
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ASIDE = frozenset("nav header footer aside form button select option menu dialog fieldset head script style noscript template textarea title svg iframe".split())
 MAIN = frozenset("article main".split())
-HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|nav\w*|menu|breadcrumbs?|header|masthead|footer|side\w*|widget|toolbar|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|skip\w*)(?:$|[\s_-])", re.I)
+SECTIONS = frozenset("article main section div td body".split())
+HEADINGS = frozenset("h1 h2".split())
+# Words that class and id names of such parts are made of, and words that may stand beside them.
+_PARTS_OF_PAGES = r"ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|nav\w*|menus?|breadcrumbs?|header|masthead|footer|side|sidebar|aside|widgets?|toolbar|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|skip\w*"
+_BESIDE = r"site|page|main|top|bottom|left|right|inner|outer|sticky|mobile|desktop|global|primary|secondary|box|slot|bar|unit|wrap|wrapper|container|area|section|content|block|body|panel|pane|list|links?|items?|row|col|form|field|button|icons?|text|title|label|image|img|posts?|articles?|stor(?:y|ies)|news|more|to|us|by|google|fb|twitter|[a-z]?\d*"
+_HINT = re.compile(rf"(?=.*(?:^|[_-])(?:{_PARTS_OF_PAGES})(?:$|[_-]))(?:(?:{_PARTS_OF_PAGES}|{_BESIDE})(?:$|[_-]+))+$", re.I)
 
 _SCOPE = frozenset("applet button caption html marquee object table td template th".split())
 _CELLS, _PARTS = frozenset("td th".split()), frozenset("tbody thead tfoot".split())
@@ -58,6 +73,11 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 _HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
+def hinted(marks: str) -> bool:
+    """Whether a class or id name is made of words for such parts: ``related-posts`` is, ``related-work`` is not."""
+    return any(_HINT.match(mark) for mark in marks.split())
+
+
 def events(source: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest): open and close tags and raw text. Comments and the contents of raw elements are left out."""
     at, n = 0, len(source)
@@ -98,6 +118,7 @@ class Block:
     aside: bool
     words: list[tuple[str, str]]
     linked: int
+    start: int  # of its words among the page's tokens
 
 
 @dataclass
@@ -122,7 +143,7 @@ def parse(source: str | None) -> Page:
         if text:
             main, aside, path = stack[-1][1:] if stack else (False, False, "")
             words = [(path, w) for w in text.split()]
-            page.blocks.append(Block(text, main, aside, words, linked))
+            page.blocks.append(Block(text, main, aside, words, linked, len(page.tokens)))
             page.tokens += words
         linked = 0
 
@@ -162,7 +183,7 @@ def parse(source: str | None) -> Page:
             page.has_main = True
         if name in VOID or rest.rstrip().endswith("/"):
             continue
-        aside = name in ASIDE and not (name == "header" and inside) or bool(marks and name not in ("html", "body", *MAIN) and HINT.search(marks)) or bool(rest and _HIDDEN.search(rest))
+        aside = name in ASIDE and not (name == "header" and inside) or bool(marks and name not in ("html", "body", *MAIN) and hinted(marks)) or bool(rest and _HIDDEN.search(rest))
         held[name] += 1
         # What is around an article does not count inside it.
         stack.append((name, inside or name in MAIN, aside or outer and name not in MAIN, f"{path}/{name}"[-160:]))
@@ -221,22 +242,90 @@ def is_fixed(vector: tuple[int, ...]) -> bool:
     return max(Counter(v for v in vector if v).values()) >= SUPPORT * len(vector)
 
 
-def main_text(page: Page, template: list[EquivalenceClass]) -> str:
-    """The slots of a page that belong to its main text, joined by two line feeds."""
-    fixed = {t for c in template if is_fixed(c.vector) for t in c.tokens}
-    kept = []
+def template_tokens(classes: list[EquivalenceClass]) -> set[tuple[str, str]]:
+    """Tokens of the fixed classes that stand in no other than fixed ones; a class comes after the one around it."""
+    held: list[bool] = []
+    for c in classes:
+        held.append(is_fixed(c.vector) and (c.parent is None or held[c.parent]))
+    return {t for c, h in zip(classes, held, strict=True) if h for t in c.tokens}
+
+
+Mark = tuple[tuple[str, str] | None, int]  # a template token and which occurrence in its page
+
+
+def slots(page: Page, fixed: set[tuple[str, str]]) -> list[tuple[Mark, tuple[Mark, ...]] | None]:
+    """The slot of each block: the template token before it, and the template's open sections, outermost first.
+
+    None for blocks of template words alone, which stand in no slot.
+    """
+    out: list[tuple[Mark, tuple[Mark, ...]] | None] = []
+    seen: Counter[tuple[str, str]] = Counter()
+    before: Mark = (None, 0)
+    around: list[tuple[str, str, Mark]] = []  # path, name and mark of a section
+    at = 0
+
+    def step(until: int) -> None:
+        nonlocal before, at
+        for token in page.tokens[at:until]:
+            if token not in fixed:
+                continue
+            seen[token] += 1
+            before = (token, seen[token])
+            name = token[1].strip("</>").split(" ", 1)[0]
+            if token[1].startswith("<") and name in SECTIONS:
+                while around and len(around[-1][0]) >= len(token[0]):  # a section that is over, its end being no template token
+                    around.pop()
+                if token[1][1] != "/":
+                    around.append((token[0], name, before))
+        at = max(at, until)
+
     for block in page.blocks:
-        if block.aside or page.has_main and not block.main:
-            continue
-        if not page.has_main and 2 * block.linked > len(block.text):
-            continue
-        if fixed and len(block.words) > 1 and all(w in fixed for w in block.words):
-            continue
-        kept.append(block.text)
-    return "\n\n".join(kept)
+        own = next((i for i, w in enumerate(block.words) if w not in fixed), None)
+        step(block.start + (len(block.words) if own is None else own))
+        out.append(None if own is None else (before, tuple(s[2] for s in around)))
+    return out
+
+
+def _allowed(page: Page, block: Block) -> bool:
+    """The rules on elements."""
+    if block.aside or page.has_main and not block.main:
+        return False
+    return page.has_main or 2 * block.linked <= len(block.text)
+
+
+def article_section(pages: list[Page], of: list[list]) -> Mark | None:
+    """The section that holds the heaviest slot and a heading or an article or main element; None if there is none."""
+    weight: Counter = Counter()
+    for page, found in zip(pages, of, strict=True):
+        for block, slot in zip(page.blocks, found, strict=True):
+            if slot and _allowed(page, block):
+                weight[slot] += len(block.words) * (1 + (not block.linked))
+    if not weight:
+        return None
+    around = max(weight, key=lambda s: (weight[s], repr(s)))[1]
+    named = lambda token: token[1].strip("</>").split(" ", 1)[0]
+    for section in around:  # an article or main element wins, the outer one first
+        if named(section[0]) in MAIN:
+            return section
+    heading = lambda token: named(token) in HEADINGS or token[0].rpartition("/")[2] in HEADINGS
+    headed = {s for slot in weight if slot[0][0] and heading(slot[0][0]) for s in slot[1]}
+    return next((s for s in reversed(around) if s in headed), around[-1] if around else None)
+
+
+def main_texts(pages: list[Page]) -> list[str]:
+    """The main text of each page of a group: its blocks in the article's slots, joined by two line feeds."""
+    fixed = template_tokens(deduce_template(pages))
+    of = [slots(p, fixed) for p in pages]
+    section = article_section(pages, of) if fixed else None
+    out = []
+    for page, found in zip(pages, of, strict=True):
+        kept = [(block.text, section in slot[1]) for block, slot in zip(page.blocks, found, strict=True) if slot and _allowed(page, block)]
+        inside = any(i for _, i in kept)  # a page without the section has only the rules
+        out.append("\n\n".join(text for text, i in kept if i or not inside))
+    return out
 
 
-EXTRACTED = struct(("page_id", T.LongType()), ("url", T.StringType()), ("text", T.StringType()), ("n_chars", T.LongType()), ("n_classes", T.IntegerType()))
+EXTRACTED = struct(("page_id", T.LongType()), ("url", T.StringType()), ("text", T.StringType()), ("n_chars", T.LongType()))
 
 
 def grouped_pages(pages: DataFrame) -> DataFrame:
@@ -271,21 +360,20 @@ def grouped(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, main text, its code points and the number of template classes, for every page."""
+    """page_id, url, main text and its code points, for every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(EXTRACTED)
         def done(held: list[tuple]) -> pa.RecordBatch:
-            parsed = [parse(h[3]) for h in held]
-            template = deduce_template(parsed)
-            texts = [main_text(p, template) for p in parsed]
-            columns = [[h[1] for h in held], [h[2] for h in held], texts, [len(t) for t in texts], [len(template)] * len(held)]
+            texts = main_texts([parse(h[3]) for h in held])
+            columns = [[h[1] for h in held], [h[2] for h in held], texts, [len(t) for t in texts]]
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         rows = (((r[0], r[1]), *r[2:]) for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
         for held in grouped(rows):
             yield done(held)
+        release()
 
     return grouped_pages(pages).select("host", "salt", "page_id", "url", "html").mapInArrow(run, EXTRACTED)

@@ -276,14 +276,14 @@ def test_template_text_is_dropped():
     template = html_template.deduce_template(pages)
     assert template
     assert all(c.parent is None or c.parent < i for i, c in enumerate(template))
-    assert html_template.main_text(pages[1], template) == "Story 1 is about green things\n\ngreen"
+    assert html_template.main_texts(pages)[1] == "Story 1 is about green things\n\ngreen"
 
 
 def test_html_support_is_of_non_empty_pages():
     # 48 pages, of which one is empty, one null and one an error page
     rows = [page(f"<div><p>Read all our other stories</p><p>Story {i} is about it{i}</p></div>") for i in range(45)] + ["", None, "<h1>Error</h1><p>not found</p>"]
     pages = [html_template.parse(r) for r in rows]
-    assert html_template.main_text(pages[7], html_template.deduce_template(pages)) == "Story 7 is about it7"
+    assert html_template.main_texts(pages)[7] == "Story 7 is about it7"
 
 
 def test_html_groups_have_least_pages():
@@ -291,28 +291,64 @@ def test_html_groups_have_least_pages():
         rows = [("a", i) for i in range(n)] + [("b", i) for i in range(n)]
         got = list(html_template.grouped(iter(rows)))
         assert [r for g in got for r in g] == rows
-        assert all(len({r[0] for r in g}) == 1 and min(n, 4) <= len(g) <= 48 for g in got)
+        assert all(len({r[0] for r in g}) == 1 and min(n, 3) <= len(g) <= 48 for g in got)
     assert list(html_template.grouped(iter([]))) == []
 
 
 @pytest.mark.parametrize("open_", ["<div>", "<p><b>", "<b>"])
 def test_html_of_any_depth(open_):
-    text = lambda body: html_template.main_text(html_template.parse(page(body)), [])
+    text = lambda body: html_template.main_texts([html_template.parse(page(body))])[0]
     assert text(f"<article>{open_ * 300}One<aside>no</aside><div class=ad>no</div><form>no</form> two</article><p>out") == "One\n\ntwo"
     assert text(f"{open_ * 300}<article><p>in</p></article>") == "in"
 
 
+def site(n, body, **marks):
+    return html_template.main_texts([html_template.parse(page(body.format(i=i, w=f"w{i}", **marks))) for i in range(n)])
+
+
+def test_html_slots_tell_the_article():
+    # No article element and no telling names: the article is the section with the heaviest slot and a heading.
+    body = '<div class=a><p>Links {w}</p><p>x{i}</p></div><div class=b><h1>Title {w}</h1><div><p>Long {w} story of {i} many words</p><p>It goes on {w} and on</p></div></div><div class=c><p>Tail {w} end</p></div>'
+    assert site(6, body)[2] == "Title w2\n\nLong w2 story of 2 many words\n\nIt goes on w2 and on"
+    # Site words of one block each, also single ones, on a host of three pages
+    motto = "<article><h1>T {w}</h1><p>Subscribe</p><p>Our old motto</p><p>Text {w} of {i}</p></article>"
+    assert site(3, motto)[1] == "T w1\n\nText w1 of 1"
+    assert site(6, motto)[1] == "T w1\n\nText w1 of 1"
+    # Names made of words for page parts only
+    names = "<article><h1>T {w}</h1><div class='related-work'>kept {w}</div><div class='side-effects'>too {i}</div><div class='related-posts'>no {w}</div><div id=sidebar-right>no {w}</div><div class='x ad-slot-3'>no {w}</div></article>"
+    assert site(1, names)[0] == site(5, names)[0] == "T w0\n\nkept w0\n\ntoo 0"
+    # A page of another build in the group keeps the rules on elements
+    pages = [html_template.parse(page(body.format(i=i, w=f"w{i}"))) for i in range(20)] + [html_template.parse(page("<p>Other page</p>"))]
+    assert html_template.main_texts(pages)[-1] == "Other page"
+
+
+def test_html_nested_classes():
+    pages = [html_template.parse(page("<div><ul>" + f"<li><b>Name:</b> <i>n{i}</i></li><li><b>Name:</b> <i>m{i}</i></li>" + f"</ul><h1>a{i}</h1><p>b{i}</p></div>")) for i in range(5)]
+    classes = html_template.deduce_template(pages)
+    vectors = {c.vector for c in classes}
+    assert {(1,) * 5, (2,) * 5} <= vectors
+    inner = next(c for c in classes if c.vector == (2,) * 5)
+    assert inner.parent is not None
+    assert classes[inner.parent].vector == (1,) * 5
+    fixed = html_template.template_tokens(classes)
+    brute = {t for t in pages[0].tokens if len({tuple(p.tokens).count(t) for p in pages}) == 1}
+    assert fixed <= brute
+    assert {t[1] for t in fixed} >= {"<li >", "Name:", "<h1 >", "</h1>"}
+    found = html_template.slots(pages[3], fixed)
+    assert [s[0][1] for s in found] == [1, 2, 1, 1]  # the items are the first and second occurrence of one slot
+
+
 def test_html_implied_ends():
-    text = lambda body: html_template.main_text(html_template.parse(page(body)), [])
+    text = lambda body: html_template.main_texts([html_template.parse(page(body))])[0]
     assert text("<article><p class=ad>no<p>One<ul><li class=ad>no<li>two<ul><li>three</ul></ul><table><tr><td class=ad>no<td>four<tr><td>five</table></article>") == "One\n\ntwo\n\nthree\n\nfour\n\nfive"
     assert text("<article><p>One<table><tr><td><div>two</div></p>three</table>four</article>") == "One\n\ntwo\n\nthree\n\nfour"
 
 
 def test_html_on_the_table(spark):
-    got = {r["page_id"]: r["text"] for r in html_template.extract_main_text(table(spark, SF, "pages")).collect()}
+    got = {r["page_id"]: r["text"] for r in html_template.extract_main_text(table(spark, SF1, "pages")).collect()}
     import html as h
 
-    for r in table(spark, SF, "pages").collect():
+    for r in table(spark, SF1, "pages").collect():
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = [" ".join(h.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert got[r["page_id"]] == "\n\n".join(b for b in blocks if b)

@@ -29,7 +29,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node, component (its least node) for every node of ``edges`` (u, v long, any direction).
 
-    Loops and repeated edges do no harm; no edge gives no row.
+    Loops and repeated edges do no harm; no edge gives no row. Rounds grow with the logarithm
+    of the longest path; if ``rounds`` do not suffice, that is an error and not a result.
     """
     now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = checkpointed(now), None
@@ -39,4 +40,6 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             break
         before = state
         now = checkpointed(_small_star(_large_star(now)))
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()

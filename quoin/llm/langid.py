@@ -9,7 +9,10 @@ temperature, fitted on rows kept out of the descent, calibrates the scores.
 Scores of a word are linear in its embedding, so each distinct word is scored
 once while it stays in a worker's cache. Null texts and texts without a letter
 get ``und`` with score 0. A text is rejected when it is ``und`` or when its
-calibrated score is below ``reject_below``.
+calibrated score is below ``reject_below``. Equally likely languages go to the
+first by name. Texts are scored whole, whatever their length; repeated rows give
+repeated results; an empty table gives an empty one; other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from quoin.llm._base import arrow_map, crc_part, release, sample_ids, slices, st
 from quoin.llm._subwords import gram_lists, gram_means
 
 UNDETERMINED = "und"
-#: Bound of the training sample in rows.
-TRAIN_ROWS = 4000
+#: Bounds of the training sample: rows, and words of the two snippets that each row gives.
+TRAIN_ROWS, SNIPPETS = 4000, (40, 4)
 BUCKETS, DIM = 1 << 15, 12
 #: Lengths of the character n-grams, word borders included.
 SIZES = (2, 3, 4)
@@ -87,7 +90,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 3, r
     samples, wanted = [], []
     for text, label in zip(texts, labels, strict=True):
         words = words_of(text)
-        for size in (40, 4) if words else ():
+        for size in SNIPPETS if words else ():
             start = int(rng.integers(0, max(1, len(words) - size + 1)))
             samples.append(words[start : start + size])
             wanted.append(languages.index(label))

@@ -6,7 +6,9 @@ models, one of random strings and one of ordinary words and identifiers, both
 trained from labelled samples. All offsets are code points, end exclusive.
 
 Null texts count as empty and have no spans. Every row stands alone, so
-repeated rows give repeated results; other columns are carried or ignored.
+repeated rows give repeated results; other columns, whatever their names, are
+carried or ignored. Texts are read whole, whatever their length; an empty table
+gives an empty result, and models are then trained on identifiers alone.
 """
 
 from __future__ import annotations
@@ -132,7 +134,9 @@ def secret_spans(docs: DataFrame, ratios: list[int]) -> DataFrame:
 
 def redact(docs: DataFrame, ratios: list[int], mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span in text replaced by ``mark`` and n_chars of these rows counted anew; other rows are as they were."""
-    found = scan(docs, ratios).withColumn("_all", F.array_sort(F.concat("base", "added")))
+    # The row travels as one column, so that no column of docs meets a name of the scan.
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    found = scan(rows, ratios).withColumn("_all", F.array_sort(F.concat("base", "added")))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
 
     def join(acc: Column, x: Column) -> Column:
@@ -146,5 +150,5 @@ def redact(docs: DataFrame, ratios: list[int], mark: str = "[secret]") -> DataFr
     parts = F.transform("_all", lambda x, i: F.concat(F.substring(F.col("text"), before(i) + 1, x["s"] - before(i)), F.lit(mark)))
     tail = F.substring(F.col("text"), F.element_at("_all", -1)["e"] + 1, F.length("text"))
     text = F.when(F.size("_all") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
-    changed = {"text": text, "n_chars": F.when(F.size("_all") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    changed = {"text": text, "n_chars": F.when(F.size("_all") > 0, F.length(text).cast("long")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return found.select(*[(changed[c] if c in changed else F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -9,10 +9,17 @@ score is calibrated from its highest window.
 Training sees labels of whole texts only. Positives are first the windows of
 toxic texts with the words or n-grams of the highest log odds between labels,
 then those that the network itself holds likely, and the likeliest of each text. Gradients are worked out by hand;
-steps are Adam's. The sample is bounded by ``TRAIN_ROWS`` per label.
+steps are Adam's. The sample is bounded by ``TRAIN_ROWS`` per label and
+``TRAIN_WINDOWS`` windows a round; scoring has no bound. The curve from logits to
+scores is fitted on the same texts (keeping every fifth out for it found fewer
+toxic texts: see the README).
 
 Null texts and texts without a word get the score of an empty window. Equal
-texts give equal scores; label, language, source and id are never inputs.
+texts give equal scores; label, language, source and id are never inputs. A
+doc_id that is repeated among the labels counts once, as toxic if any row says
+so, and with the least of its texts. Texts are read whole, whatever their
+length. Other columns may have any name; an empty table gives an empty result,
+and without labels all texts get one score.
 """
 
 from __future__ import annotations
@@ -30,8 +37,8 @@ from quoin.llm._base import arrow_map, crc_part, struct
 from quoin.llm._subwords import gram_buckets
 
 WINDOW, STRIDE = 24, 16
-#: Bound of the training sample: rows of each label.
-TRAIN_ROWS = 1500
+#: Bounds of the training sample: rows of each label, and windows of toxic texts in one round of the descent.
+TRAIN_ROWS, TRAIN_WINDOWS = 1500, 6000
 WORD_BUCKETS, CHAR_BUCKETS, DIM, HIDDEN = 1 << 13, 1 << 14, 10, 10
 #: Lengths of the character n-grams, word borders included.
 SIZES = (3, 4, 5)
@@ -266,7 +273,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5, rounds: int = 5, l
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, held.owners[bad], z)
         # Windows that look toxic, and the likeliest of each toxic text.
-        chosen = rng.permutation(bad[(z > 0) | (z >= best[held.owners[bad]])])[:6000]
+        chosen = rng.permutation(bad[(z > 0) | (z >= best[held.owners[bad]])])[:TRAIN_WINDOWS]
         # A small sample is gone through more often, each time with other clean windows.
         size = max(500, 2 * len(chosen))
         for _ in range(max(1, least_steps // rounds // ((len(chosen) + size) // 128 + 1))):
@@ -338,7 +345,7 @@ class Scorer:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out: tuple[int, int] | None = None) -> ToxicityModel:
     """Train on at most ``rows`` labelled rows of each label, chosen by a hash of doc_id."""
-    usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held_out:
         usable = usable.filter(crc_part("doc_id", held_out[0]) != held_out[1])
     order = [F.xxhash64("doc_id", F.lit(29)), F.col("doc_id")]
@@ -346,8 +353,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, hel
     if not chosen:
         return train([], [])
     wanted = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "doc_id long, toxic int")
-    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter(F.col("text").isNotNull()).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
+    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter(F.col("text").isNotNull()).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in got], [r["toxic"] for r in got])
 
 

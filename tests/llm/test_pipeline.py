@@ -74,3 +74,9 @@ def test_stages_keep_columns_and_odd_rows(spark):
         assert got.columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+    clash = docs.selectExpr("*", "1 AS base", "2 AS added", "3 AS _runs", "4 AS _all", "5 AS _hex", "6 AS _row", "7 AS h", "8 AS node", "9 AS t", "10 AS near")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, clash, SF)
+        assert got.columns == clash.columns
+        assert {tuple(r)[5:] for r in got.collect()} <= {(1, 2, 3, 4, 5, 6, 7, 8, 9, 10)}
+    assert corpus_pipeline.STAGES[-1][1](spark, clash, SF).count() == len(rows)

@@ -252,7 +252,7 @@ def same_row(a: Box, b: Box, share: float = 0.5) -> Column:
 
 def same_visual_row(a: Box, b: Box) -> Column:
     least, most = F.least(height(a), height(b)), F.greatest(height(a), height(b))
-    return (vertical_overlap_share(a, b) >= 0.82) & (F.abs(center_y(a) - center_y(b)) <= 0.18 * most) & (least >= 0.8 * most)
+    return (vertical_overlap_share(a, b) >= 0.82) & (F.abs(center_y(a) - center_y(b)) <= 0.18 * least) & (least > 0) & (F.greatest(least, F.lit(1.0)) >= 0.8 * F.greatest(most, F.lit(1.0)))
 
 
 def same_lane(a: Box, b: Box, tolerance: float = 6.0) -> Column:

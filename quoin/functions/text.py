@@ -112,18 +112,27 @@ def language(text: Column) -> Column:
     French before German before Italian.
     """
     sample = F.trim(F.coalesce(text, F.lit("")))
-    hebrew, arabic, latin = count(sample, HEBREW), count(sample, ARABIC), count(sample, LATIN)
-    scores = language_scores(sample)
-    best = F.greatest(*scores.values())
-    code = F.when((latin == 0) | (scores["en"] == best), "en")
+    counts = {"hebrew": count(sample, HEBREW), "arabic": count(sample, ARABIC), "latin": count(sample, LATIN), "long": F.length(sample)} | language_scores(sample)
+    return _once(F.struct(*[v.alias(k) for k, v in counts.items()]), _language)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row; written out at each use it would be computed at each."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _language(n: Column) -> Column:
+    hebrew, arabic, latin = n["hebrew"], n["arabic"], n["latin"]
+    best = F.greatest(n["en"], *[n[c] for c in HINTS])
+    code = F.when((latin == 0) | (n["en"] == best), "en")
     for c in HINTS:
-        code = code.when(scores[c] == best, c)
-    by_script = lambda n: F.least(F.lit(1.0), n / F.greatest(F.lit(10.0), F.length(sample) * 0.08))
+        code = code.when(n[c] == best, c)
+    by_script = lambda k: F.least(F.lit(1.0), k / F.greatest(F.lit(10.0), n["long"] * 0.08))
     lexical = F.greatest(F.lit(0.35), F.least(F.lit(1.0), (best + 1) / F.greatest(F.lit(3.0), latin * 0.12)))
     of = lambda c, conf, why: F.struct(c.alias("code"), conf.cast("double").alias("confidence"), why.alias("reason"))
     latin_reason = F.when(code == "en", "latin_fallback").otherwise(F.concat(code, F.lit("_lexical")))
     return (
-        F.when(sample == "", of(F.lit("en"), F.lit(0.0), F.lit("empty_text")))
+        F.when(n["long"] == 0, of(F.lit("en"), F.lit(0.0), F.lit("empty_text")))
         .when(hebrew >= F.greatest(F.lit(3), arabic + 1), of(F.lit("he"), by_script(hebrew), F.lit("hebrew_script")))
         .when(arabic >= F.greatest(F.lit(3), hebrew + 1), of(F.lit("ar"), by_script(arabic), F.lit("arabic_script")))
         .otherwise(of(code, F.when(latin > 0, lexical).otherwise(F.lit(0.35)), latin_reason))

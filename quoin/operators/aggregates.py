@@ -46,18 +46,21 @@ def with_fallback(df: DataFrame, levels: list[list[str]], medians: list[DataFram
 def palette(colors: DataFrame, column: str = "color", keep: int = PALETTE_SIZE, distance: float = PALETTE_DISTANCE) -> DataFrame:
     """The commonest colours that differ: by count, then name, a colour stays if it is far from those kept before.
 
-    Each of ``keep`` rounds takes the first that is left and drops what is near it: one row is broadcast a round.
+    Each of ``keep`` rounds takes the first that is left (one row) and drops what is near it. Colours are
+    counted once, and at most 2 ** 24 of them are held for the rounds.
     """
     counts = colors.filter(F.col(column).rlike("^#[0-9A-Fa-f]{6}$")).groupBy(F.lower(column).alias("color")).count()
     rgb = rgb01(F.col("color"))
-    ranked = counts.select("color", "count", *[c.alias(n) for c, n in zip(rgb, "rgb", strict=True)])
-    kept = ranked.limit(0)
-    rest = ranked
+    ranked = counts.select("color", "count", *[c.alias(n) for c, n in zip(rgb, "rgb", strict=True)]).persist()
+    kept, rest = [], ranked
     for _ in range(keep):
-        top = rest.orderBy(F.col("count").desc(), "color").limit(1)
-        kept = kept.union(top.select("color", "count", "r", "g", "b"))
-        rest = rest.alias("x").join(F.broadcast(top.alias("t")), color_distance([F.col("x.r"), F.col("x.g"), F.col("x.b")], [F.col("t.r"), F.col("t.g"), F.col("t.b")]) < distance, "left_anti")
-    return kept.select("color", "count")
+        top = rest.orderBy(F.col("count").desc(), "color").first()
+        if top is None:
+            break
+        kept.append((top["color"], top["count"]))
+        rest = rest.filter(color_distance([F.col(c) for c in "rgb"], [F.lit(top[c]) for c in "rgb"]) >= distance)
+    ranked.unpersist()
+    return colors.sparkSession.createDataFrame(kept, "color string, count long")
 
 
 def union_area(boxes: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from quoin.functions.text import HEBREW, ends_sentence, has_unmatched_open, star
 # Word lists of the Hebrew rules and the names of the features in order.
 PREPOSITIONS = "בגין של על עם אל עבור לפי כגון כמו ללא בין תוך מתוך לפני אחרי בתוך".split()
 PREFIXES = "ב ל מ ש ו ה כ".split()
-SHORT_WORDS = 5
+SHORT_WORDS, DEFAULT_SIZE = 5, 10.0
 FEATURES = ("ends_terminal_punct", "starts_bullet", "dangling_preposition", "single_letter_prefix", "unmatched_open", "short_b", "short_a", "both_short", "font_size_ratio", "vertical_gap_norm", "horizontal_gap_norm", "same_row", "bbox_width_ratio", "both_hebrew", "a_word_count", "b_word_count")
 
 
@@ -25,13 +25,18 @@ def single_letter_prefix(text: Column) -> Column:
 
 
 def pair_features(a: str = "a_", b: str = "b_") -> Column:
-    """The 16 features of a pair of blocks with text, font_size and box columns under two prefixes, as one array."""
+    """The 16 features of a pair of blocks with text, font_size and box columns under two prefixes, as one array.
+
+    Ratios of sizes and widths are how much the larger exceeds the smaller; the gap beside each
+    other counts on one row only.
+    """
     ta, tb, ba, bb = F.col(f"{a}text"), F.col(f"{b}text"), g.box(a), g.box(b)
     na, nb = word_count(ta), word_count(tb)
-    most = F.greatest(g.height(ba), g.height(bb), F.lit(1.0))
-    small, large = F.least(F.col(f"{a}font_size"), F.col(f"{b}font_size")), F.greatest(F.col(f"{a}font_size"), F.col(f"{b}font_size"))
-    wide = F.greatest(g.width(ba), g.width(bb))
-    values = [ends_sentence(ta), starts_with_bullet(tb), dangling_preposition(ta), single_letter_prefix(ta), has_unmatched_open(ta), nb < SHORT_WORDS, na < SHORT_WORDS, (na < SHORT_WORDS) & (nb < SHORT_WORDS), F.when(large > 0, small / large).otherwise(F.lit(1.0)), g.vertical_gap(ba, bb) / most, g.horizontal_gap(ba, bb) / most, g.same_row(ba, bb), F.when(wide > 0, F.least(g.width(ba), g.width(bb)) / wide).otherwise(F.lit(0.0)), ta.rlike(HEBREW) & tb.rlike(HEBREW), na, nb]
+    sizes = [F.when(F.col(f"{p}font_size") != 0, F.col(f"{p}font_size")).otherwise(F.lit(DEFAULT_SIZE)) for p in (a, b)]
+    high, wide = F.greatest(g.height(ba), g.height(bb)), F.greatest(g.width(ba), g.width(bb))
+    share = lambda x, of: F.when(of > 0, x / of).otherwise(F.lit(0.0))
+    excess = lambda x, y: F.when(F.least(x, y) > 0, F.greatest(x, y) / F.least(x, y) - 1).otherwise(F.lit(0.0))
+    values = [ends_sentence(ta), starts_with_bullet(tb), dangling_preposition(ta), single_letter_prefix(ta), has_unmatched_open(ta), nb < SHORT_WORDS, na < SHORT_WORDS, (na < SHORT_WORDS) & (nb < SHORT_WORDS), excess(*sizes), share(g.vertical_gap(ba, bb), high), F.when(g.same_row(ba, bb), share(g.horizontal_gap(ba, bb), wide)).otherwise(F.lit(0.0)), g.same_row(ba, bb), excess(g.width(ba), g.width(bb)), ta.rlike(HEBREW) & tb.rlike(HEBREW), na, nb]
     return F.array(*[v.cast("double") for v in values])
 
 

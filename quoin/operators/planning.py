@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 # Candidates in their order, phases of a run and their stages, and how far edits can be undone.
 CANDIDATES = (("main", "detected-text", True), ("ocr-grouped", "ocr", False), ("ocr-grouped-mirrored", "ocr", True))
-STAGES = {"reading": "extract", "extracting": "extract", "rendering": "extract", "planning": "plan", "ocr": "plan", "translating": "translate", "fitting": "layout", "protecting": "layout", "finishing": "layout"}
+STAGES = {"receive_upload": "reading", "build_manifest": "reading", "extract_layouts": "reading", "prepare_web_layouts": "reading", "download_language_pack": "preparing", "translate_pages": "translating", "fit_pages": "finishing", "render_outputs": "finishing", "create_working_session": "finishing"}
+SKIPPED = ("Skipped page {} because it looks scanned or image-only.", "Skipped pages {} because they look scanned or image-only.")
+UNSUPPORTED = ("Page {} looks like a scanned or image-only page, so it cannot open in this text-based editor yet. Try a different method.", "Pages {} look like scanned or image-only pages, so they cannot open in this text-based editor yet. Try a different method.")
 UNDO_DEPTH = 50
 
 
@@ -31,16 +33,29 @@ def run_decision(planned: DataFrame) -> DataFrame:
 
 
 def stage_of(phase: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])[phase]
+    """The stage that users see; the first one for unknown phases."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv]), phase), F.lit("reading"))
 
 
 def page_list(pages: DataFrame) -> DataFrame:
-    """Distinct positive pages of each document in order, as text."""
-    return pages.filter("page_id > 0").groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("page_id")), ", ").alias("pages"))
+    """Distinct positive pages of each document in order, their number and as text; a document without any has none."""
+    found = F.collect_set(F.when(F.col("page_id") > 0, F.col("page_id")))
+    return pages.groupBy("document_id").agg(F.array_join(F.array_sort(found), ", ").alias("pages"), F.size(found).alias("n"))
+
+
+def _worded(sentences: tuple[str, str]) -> Column:
+    one, many = (s.split("{}") for s in sentences)
+    return F.when(F.col("n") == 1, F.concat(F.lit(one[0]), "pages", F.lit(one[1]))).otherwise(F.concat(F.lit(many[0]), "pages", F.lit(many[1])))
 
 
 def skipped_notice(pages: DataFrame) -> DataFrame:
-    return page_list(pages).select("document_id", F.concat(F.lit("Pages without usable text: "), "pages").alias("notice"))
+    """Notice of the pages that were left out, empty if there are none."""
+    return page_list(pages).select("document_id", F.when(F.col("n") == 0, "").otherwise(_worded(SKIPPED)).alias("notice"))
+
+
+def unsupported_message(pages: DataFrame) -> DataFrame:
+    """Message of the pages that cannot be opened."""
+    return page_list(pages).select("document_id", _worded(UNSUPPORTED).alias("message"))
 
 
 def warning_summary(pages: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def shared_containers(groups: DataFrame, cells: DataFrame, keys: list[str], grou
 
 
 def visible_page(pages: DataFrame, top: float, bottom: float) -> DataFrame:
-    """The page with most visible height in a viewport, the nearest to its top on ties."""
+    """The page of each document with most visible height in a viewport, the nearest to its top on ties."""
     seen = F.greatest(F.lit(0.0), F.least(F.col("y1"), F.lit(bottom)) - F.greatest(F.col("y0"), F.lit(top)))
-    w = Window.orderBy(seen.desc(), F.abs(F.col("y0") - top), "page_id")
+    w = Window.partitionBy("document_id").orderBy(seen.desc(), F.abs(F.col("y0") - top), "page_id")
     return pages.withColumn("visible", seen).withColumn("_at", F.row_number().over(w)).filter("_at = 1").drop("_at")

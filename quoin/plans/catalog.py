@@ -72,11 +72,6 @@ def box_sql(op: str, a: str = "a", b: str = "b") -> str:
     return {"ow": ow, "oh": oh, "inter": f"({ow} * {oh})", "aa": area(a), "ab": area(b), "ha": f"({a}.y1 - {a}.y0)", "hb": f"({b}.y1 - {b}.y0)", "wa": f"({a}.x1 - {a}.x0)", "wb": f"({b}.x1 - {b}.x0)"}[op]
 
 
-def first_lines(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """The first lines of each page: what the quadratic page operators are shown on."""
-    return synth_lines(table(spark, sf_dir, "documents")).filter(F.col("line_no") % 50 < n)
-
-
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring lines of a page as a_ and b_."""
     lines = synth_lines(table(spark, sf_dir, "documents")).select(*PAGE, "line_no", "text", "font_size", "x0", "y0", "x1", "y1")
@@ -204,10 +199,11 @@ def style_values(spark, sf_dir):
 # --- islands and order
 
 
-@query(f"""WITH {WORDS}, w AS (SELECT * FROM words WHERE length(text) > 2 AND line_no < 50), f AS (SELECT *, CASE WHEN x0 - lag(x1) OVER q > 6 THEN 1 ELSE 0 END AS n FROM w WINDOW q AS (PARTITION BY doc_id, line_no ORDER BY x0, x1)), i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, line_no ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS island FROM f)
+@query(f"""WITH {WORDS}, w AS (SELECT doc_id, page_id, line_no, text, x0 + 9 * (word_no // 5) AS x0, y0, x1 + 9 * (word_no // 5) AS x1, y1 FROM words), f AS (SELECT *, CASE WHEN x0 - lag(x1) OVER q > 6 THEN 1 ELSE 0 END AS n FROM w WINDOW q AS (PARTITION BY doc_id, line_no ORDER BY x0, x1)), i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, line_no ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS island FROM f)
 SELECT doc_id, page_id, line_no, island::BIGINT AS island, string_agg(text, ' ' ORDER BY x0, text) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_words FROM i GROUP BY ALL""")
 def word_gap_groups(spark, sf_dir):
-    words = line_words(spark, sf_dir).filter((F.length("text") > 2) & (F.col("line_no") < 50))
+    gap = 9 * F.floor(F.col("word_no") / 5)  # a wide gap after each fifth word
+    words = line_words(spark, sf_dir).withColumn("x0", F.col("x0") + gap).withColumn("x1", F.col("x1") + gap)
     return islands.word_cells(words, [*PAGE, "line_no"], 6.0)
 
 
@@ -284,10 +280,10 @@ def palette_top6(spark, sf_dir):
 # --- spatial joins
 
 
-@query(f"""WITH {WORDS}, f AS (SELECT l.doc_id, l.page_id, l.line_no, length(w.text) % 3 AS style, greatest(0, least(l.x1, w.x1) - greatest(l.x0, w.x0)) * greatest(0, least(l.y1, w.y1) - greatest(l.y0, w.y0)) AS a, w.line_no * 10000 + w.word_no AS o FROM lines l JOIN words w ON l.doc_id = w.doc_id AND l.page_id = w.page_id WHERE l.line_no % 50 < 20 AND w.line_no % 50 < 20), s AS (SELECT doc_id, page_id, line_no, style, sum(a) AS area, min(o) AS o FROM f WHERE a > 0 GROUP BY ALL)
+@query(f"""WITH {WORDS}, f AS (SELECT l.doc_id, l.page_id, l.line_no, length(w.text) % 3 AS style, greatest(0, least(l.x1, w.x1) - greatest(l.x0, w.x0)) * greatest(0, least(l.y1, w.y1) - greatest(l.y0, w.y0)) AS a, w.line_no * 10000 + w.word_no AS o FROM lines l JOIN words w ON l.doc_id = w.doc_id AND l.page_id = w.page_id), s AS (SELECT doc_id, page_id, line_no, style, sum(a) AS area, min(o) AS o FROM f WHERE a > 0 GROUP BY ALL)
 SELECT doc_id, page_id, line_no, style::INT AS style, round(area, 3) AS area FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_id, line_no ORDER BY round(area, 6) DESC, o) AS q FROM s) WHERE q = 1""")
 def style_argmax_overlap(spark, sf_dir):
-    lines = first_lines(spark, sf_dir)
+    lines = layout_lines(spark, sf_dir)
     words = synth_words(lines).select(*PAGE, "x0", "y0", "x1", "y1", (F.length("text") % 3).alias("style"), (F.col("line_no") * 10000 + F.col("word_no")).alias("o"))
     best = spatial.best_by_area(lines.select(*PAGE, "line_no", "x0", "y0", "x1", "y1"), words, PAGE, "line_no", "style", "o")
     return best.withColumn("area", F.round("area", 3))
@@ -306,9 +302,9 @@ def line_table_antijoin(spark, sf_dir):
     return spatial.outside_of(lines, _areas(lines), PAGE).select(*PAGE, "line_no")
 
 
-@query(f"""WITH {LINES}, l AS (SELECT doc_id, page_id, line_no, x0, y0, x1, y1 + 6 AS y1 FROM lines WHERE line_no % 50 < 20) SELECT a.doc_id, a.page_id, a.line_no AS "left", b.line_no AS "right" FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.page_id = b.page_id AND a.line_no < b.line_no WHERE {box_sql("inter")} > 0.5 AND NOT (least({box_sql("ow")}, {box_sql("oh")}) < 0.75 AND {box_sql("inter")} / least({box_sql("aa")}, {box_sql("ab")}) < 0.01)""")
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, page_id, line_no, x0, y0, x1, y1 + 6 AS y1 FROM lines) SELECT a.doc_id, a.page_id, a.line_no AS "left", b.line_no AS "right" FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.page_id = b.page_id AND a.line_no < b.line_no WHERE {box_sql("inter")} > 0.5 AND NOT (least({box_sql("ow")}, {box_sql("oh")}) < 0.75 AND {box_sql("inter")} / least({box_sql("aa")}, {box_sql("ab")}) < 0.01)""")
 def bbox_collisions(spark, sf_dir):
-    boxes = first_lines(spark, sf_dir).select(*PAGE, "line_no", "x0", "y0", "x1", (F.col("y1") + 6).alias("y1"))
+    boxes = layout_lines(spark, sf_dir).select(*PAGE, "line_no", "x0", "y0", "x1", (F.col("y1") + 6).alias("y1"))
     return spatial.collisions(boxes, PAGE, "line_no")
 
 
@@ -333,17 +329,17 @@ def right_barrier_limit(spark, sf_dir):
     return spatial.right_limit(lines, rules, PAGE, "line_no").withColumn("limit", r6(F.col("limit")))
 
 
-@query(f"""WITH {WORDS}, p AS (SELECT doc_id, page_id, line_no * 10000 + word_no AS item, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM words WHERE word_no < 8), c AS (SELECT p.doc_id, p.page_id, p.item, l.line_no, (l.x1 - l.x0) * (l.y1 - l.y0) AS a FROM p JOIN lines l ON p.doc_id = l.doc_id AND p.page_id = l.page_id AND p.x BETWEEN l.x0 - 1.5 AND l.x1 + 1.5 AND p.y BETWEEN l.y0 - 1.5 AND l.y1 + 1.5) SELECT doc_id, page_id, item, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_id, item ORDER BY a, line_no) AS q FROM c) WHERE q = 1""")
+@query(f"""WITH {WORDS}, p AS (SELECT doc_id, page_id, line_no * 10000 + word_no AS item, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM words), c AS (SELECT p.doc_id, p.page_id, p.item, l.line_no, (l.x1 - l.x0) * (l.y1 - l.y0) AS a FROM p JOIN lines l ON p.doc_id = l.doc_id AND p.page_id = l.page_id AND p.x BETWEEN l.x0 - 1.5 AND l.x1 + 1.5 AND p.y BETWEEN l.y0 - 1.5 AND l.y1 + 1.5) SELECT doc_id, page_id, item, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_id, item ORDER BY a, line_no) AS q FROM c) WHERE q = 1""")
 def glyph_to_element(spark, sf_dir):
     lines = layout_lines(spark, sf_dir)
-    points = synth_words(lines).filter("word_no < 8").select(*PAGE, (F.col("line_no") * 10000 + F.col("word_no")).alias("item"), g.center_x(g.box()).alias("x"), g.center_y(g.box()).alias("y"))
+    points = synth_words(lines).select(*PAGE, (F.col("line_no") * 10000 + F.col("word_no")).alias("item"), g.center_x(g.box()).alias("x"), g.center_y(g.box()).alias("y"))
     return spatial.smallest_container(points, lines.select(*PAGE, "line_no", "x0", "y0", "x1", "y1"), PAGE, "item", "line_no")
 
 
-@query(f"""WITH {LINES}, l AS (SELECT doc_id, page_id, x0, y0, x1, y1 + 6 AS y1 FROM lines WHERE line_no % 50 < 12), xs AS (SELECT DISTINCT doc_id, page_id, unnest([x0, x1]) AS x FROM l), s AS (SELECT *, lead(x) OVER (PARTITION BY doc_id, page_id ORDER BY x) AS nx FROM xs), c AS (SELECT s.*, l.y0, l.y1, max(l.y1) OVER (PARTITION BY s.doc_id, s.page_id, s.x ORDER BY l.y0, l.y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s JOIN l ON s.doc_id = l.doc_id AND s.page_id = l.page_id AND l.x0 <= s.x AND l.x1 >= s.nx WHERE nx IS NOT NULL)
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, page_id, x0, y0, x1, y1 + 6 AS y1 FROM lines), xs AS (SELECT DISTINCT doc_id, page_id, unnest([x0, x1]) AS x FROM l), s AS (SELECT *, lead(x) OVER (PARTITION BY doc_id, page_id ORDER BY x) AS nx FROM xs), c AS (SELECT s.*, l.y0, l.y1, max(l.y1) OVER (PARTITION BY s.doc_id, s.page_id, s.x ORDER BY l.y0, l.y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s JOIN l ON s.doc_id = l.doc_id AND s.page_id = l.page_id AND l.x0 <= s.x AND l.x1 >= s.nx WHERE nx IS NOT NULL)
 SELECT doc_id, page_id, round(sum(greatest(0, y1 - greatest(y0, coalesce(reach, y0))) * (nx - x)), 3) AS area FROM c GROUP BY ALL""")
 def union_area(spark, sf_dir):
-    boxes = first_lines(spark, sf_dir, 12).select(*PAGE, "x0", "y0", "x1", (F.col("y1") + 6).alias("y1"))
+    boxes = layout_lines(spark, sf_dir).select(*PAGE, "x0", "y0", "x1", (F.col("y1") + 6).alias("y1"))
     return aggregates.union_area(boxes, PAGE).withColumn("area", F.round("area", 3))
 
 
@@ -374,13 +370,13 @@ def edge_crossings(spark, sf_dir):
 
 
 @query(f"""WITH {PAIRS}, q AS (SELECT a, b, len(list_filter(string_split(trim(regexp_replace(a.text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS na, len(list_filter(string_split(trim(regexp_replace(b.text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS nb FROM pairs)
-SELECT a.doc_id, a.line_no AS a_line_no, regexp_matches(a.text, '[.!?:;]\\s*$')::INT::DOUBLE AS ends_terminal, (nb < 5)::INT::DOUBLE AS short_b, round(least(a.font_size, b.font_size) / greatest(a.font_size, b.font_size), 6) AS size_ratio, round(greatest(0, b.y0 - a.y1, a.y0 - b.y1) / greatest({box_sql("ha")}, {box_sql("hb")}, 1), 6) AS gap, round(least({box_sql("wa")}, {box_sql("wb")}) / greatest({box_sql("wa")}, {box_sql("wb")}), 6) AS width_ratio, na::DOUBLE AS na, nb::DOUBLE AS nb, round(0.5 * least({box_sql("wa")}, {box_sql("wb")}) / greatest({box_sql("wa")}, {box_sql("wb")}) - regexp_matches(a.text, '[.!?:;]\\s*$')::INT - 0.25, 6) AS score FROM q""")
+SELECT a.doc_id, a.line_no AS a_line_no, regexp_matches(a.text, '[.!?:;]\\s*$')::INT::DOUBLE AS ends_terminal, (nb < 5)::INT::DOUBLE AS short_b, round(greatest(a.font_size, b.font_size) / least(a.font_size, b.font_size) - 1, 6) AS size_ratio, round(greatest(0, b.y0 - a.y1, a.y0 - b.y1) / greatest({box_sql("ha")}, {box_sql("hb")}), 6) AS gap, CASE WHEN {box_sql("oh")} >= 0.5 * least({box_sql("ha")}, {box_sql("hb")}) THEN round(greatest(0, b.x0 - a.x1, a.x0 - b.x1) / greatest({box_sql("wa")}, {box_sql("wb")}), 6) ELSE 0 END::DOUBLE AS side_gap, round(greatest({box_sql("wa")}, {box_sql("wb")}) / least({box_sql("wa")}, {box_sql("wb")}) - 1, 6) AS width_ratio, na::DOUBLE AS na, nb::DOUBLE AS nb, round(0.5 * (greatest({box_sql("wa")}, {box_sql("wb")}) / least({box_sql("wa")}, {box_sql("wb")}) - 1) - regexp_matches(a.text, '[.!?:;]\\s*$')::INT - 0.25, 6) AS score FROM q""")
 def continuation_features_score(spark, sf_dir):
     f = line_pairs(spark, sf_dir).select("doc_id", "a_line_no", continuation.pair_features().alias("f"))
     at = lambda name: F.get("f", continuation.FEATURES.index(name))
     weights = [0.0] * len(continuation.FEATURES)
     weights[0], weights[12] = -1.0, 0.5
-    return f.select("doc_id", "a_line_no", at("ends_terminal_punct").alias("ends_terminal"), at("short_b").alias("short_b"), r6(at("font_size_ratio")).alias("size_ratio"), r6(at("vertical_gap_norm")).alias("gap"), r6(at("bbox_width_ratio")).alias("width_ratio"), at("a_word_count").alias("na"), at("b_word_count").alias("nb"), r6(continuation.score(F.col("f"), weights, -0.25)).alias("score"))
+    return f.select("doc_id", "a_line_no", at("ends_terminal_punct").alias("ends_terminal"), at("short_b").alias("short_b"), r6(at("font_size_ratio")).alias("size_ratio"), r6(at("vertical_gap_norm")).alias("gap"), r6(at("horizontal_gap_norm")).alias("side_gap"), r6(at("bbox_width_ratio")).alias("width_ratio"), at("a_word_count").alias("na"), at("b_word_count").alias("nb"), r6(continuation.score(F.col("f"), weights, -0.25)).alias("score"))
 
 
 @query("""WITH p AS (SELECT source AS document_id, doc_id % 7 = 0 AS bad, doc_id % 5 <> 0 AS ok FROM documents), r AS (SELECT document_id, count(*) AS n, sum(bad::INT) AS b, sum((NOT ok)::INT) AS s, sum(ok::INT) AS k FROM p GROUP BY ALL)

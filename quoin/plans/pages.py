@@ -9,7 +9,7 @@ from quoin.functions import style as st
 from quoin.functions import text as tx
 from quoin.functions import translation as tr
 from quoin.operators import aggregates, extraction, folds, fitting, islands, planning, session, spatial, tables
-from quoin.plans.catalog import LINES, PAGE, WORDS, _walls, _WALLS, box_sql, first_lines, layout_lines, line_words, query, r6, width_sql
+from quoin.plans.catalog import LINES, PAGE, WORDS, _walls, _WALLS, box_sql, layout_lines, line_words, query, r6, width_sql
 from quoin.sources import readers
 from quoin.sources.synth import table
 
@@ -17,14 +17,14 @@ LINE = [*PAGE, "line_no"]
 
 
 def _chars(spark, sf_dir):
-    """Characters of the first two lines of each page, ten points a character and 30 after each seventh."""
-    lines = first_lines(spark, sf_dir, 2)
-    c = lines.select(*LINE, F.col("x0").alias("lx"), "y0", "y1", F.posexplode(F.split(F.substring("text", 1, 400), "")).alias("ord", "c")).filter("c <> ''")
+    """Characters of all lines, ten points a character and 30 after each seventh."""
+    lines = layout_lines(spark, sf_dir)
+    c = lines.select(*LINE, F.col("x0").alias("lx"), "y0", "y1", F.posexplode(F.split("text", "")).alias("ord", "c")).filter("c <> ''")
     x = F.col("lx") + F.col("ord") * 10.0 + F.floor(F.col("ord") / 7) * 30.0
     return c.select(*LINE, "ord", "c", (F.col("ord") % 11 < 5).alias("bold"), x.alias("x0"), "y0", (x + 10.0).alias("x1"), "y1")
 
 
-CHARS = LINES + ", ch AS (SELECT doc_id, page_id, line_no, x0 AS lx, y0, y1, unnest(string_split(text[1:400], '')) AS c, generate_subscripts(string_split(text[1:400], ''), 1) - 1 AS ord FROM lines WHERE line_no % 50 < 2), chars AS (SELECT doc_id, page_id, line_no, ord::INT AS ord, c, ord % 11 < 5 AS bold, lx + ord * 10 + ord // 7 * 30 AS x0, y0, lx + ord * 10 + ord // 7 * 30 + 10 AS x1, y1 FROM ch)"
+CHARS = LINES + ", ch AS (SELECT doc_id, page_id, line_no, x0 AS lx, y0, y1, unnest(regexp_extract_all(text, '(?s).')) AS c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) - 1 AS ord FROM lines), chars AS (SELECT doc_id, page_id, line_no, ord::INT AS ord, c, ord % 11 < 5 AS bold, lx + ord * 10 + ord // 7 * 30 AS x0, y0, lx + ord * 10 + ord // 7 * 30 + 10 AS x1, y1 FROM ch)"
 
 
 @query(f"""WITH {CHARS}, f AS (SELECT *, CASE WHEN bold <> lag(bold) OVER (PARTITION BY doc_id, page_id, line_no ORDER BY ord) THEN 1 ELSE 0 END AS n FROM chars), i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_id, line_no ORDER BY ord ROWS UNBOUNDED PRECEDING) AS span_no FROM f) SELECT doc_id, page_id, line_no, span_no::BIGINT AS span_no, bold, string_agg(c, '' ORDER BY ord) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM i GROUP BY ALL""")
@@ -83,9 +83,9 @@ def page_summary(spark, sf_dir):
     return readers.page_summary(words, F.length("text"), F.col("doc_id") % 2 == 0).withColumnRenamed("document_id", "doc_id")
 
 
-@query(f"""WITH {WORDS}, w AS (SELECT * FROM words WHERE line_no < 20), m AS (SELECT *, median((x1 - x0) / length(text)) OVER p AS cw, median(y1 - y0) OVER p AS h FROM w WINDOW p AS (PARTITION BY doc_id, page_id, line_no)), f AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY doc_id, page_id, line_no ORDER BY x0) > least(14, greatest(4, greatest(2.5 * cw, 0.35 * h))) THEN 1 ELSE 0 END AS n FROM m), i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_id, line_no ORDER BY x0 ROWS UNBOUNDED PRECEDING) AS grp FROM f) SELECT doc_id, page_id, line_no, grp::BIGINT AS grp, count(*) AS n, round(avg(0.9::DOUBLE), 6) AS confidence FROM i GROUP BY ALL""")
+@query(f"""WITH {WORDS}, w AS (SELECT * FROM words), m AS (SELECT *, median((x1 - x0) / length(text)) OVER p AS cw, median(y1 - y0) OVER p AS h FROM w WINDOW p AS (PARTITION BY doc_id, page_id, line_no)), f AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY doc_id, page_id, line_no ORDER BY x0) > least(14, greatest(4, greatest(2.5 * cw, 0.35 * h))) THEN 1 ELSE 0 END AS n FROM m), i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_id, line_no ORDER BY x0 ROWS UNBOUNDED PRECEDING) AS grp FROM f) SELECT doc_id, page_id, line_no, grp::BIGINT AS grp, count(*) AS n, round(avg(0.9::DOUBLE), 6) AS confidence FROM i GROUP BY ALL""")
 def ocr_word_groups(spark, sf_dir):
-    words = line_words(spark, sf_dir).filter("line_no < 20").withColumn("confidence", F.lit(0.9))
+    words = line_words(spark, sf_dir).withColumn("confidence", F.lit(0.9))
     out = tables.ocr_groups(words, LINE)
     return out.select(*LINE, "grp", F.size(F.split("text", " ")).cast("long").alias("n"), r6(F.col("confidence")).alias("confidence"))
 
@@ -135,9 +135,20 @@ def candidate_plan(spark, sf_dir):
     return planning.run_decision(planning.planned_candidates(quality, planning.candidate_configs(spark)))
 
 
-@query("""SELECT source AS document_id, 'Pages without usable text: ' || array_to_string(list_sort(list(DISTINCT doc_id % 5 + 1)), ', ') AS notice FROM documents GROUP BY ALL""")
+@query("""WITH p AS (SELECT doc_id AS document_id, list_sort(list_distinct([CASE WHEN doc_id % 3 > 0 THEN doc_id % 5 + 1 END, CASE WHEN doc_id % 3 > 1 THEN 9 END, doc_id % 5 - 7])) AS l FROM documents), k AS (SELECT document_id, list_filter(l, lambda x: x > 0) AS l FROM p)
+SELECT document_id, CASE len(l) WHEN 0 THEN '' WHEN 1 THEN 'Skipped page ' || l[1] || ' because it looks scanned or image-only.' ELSE 'Skipped pages ' || array_to_string(l, ', ') || ' because they look scanned or image-only.' END AS notice,
+CASE len(l) WHEN 1 THEN 'Page ' || l[1] || ' looks like a scanned or image-only page, so it cannot open in this text-based editor yet. Try a different method.' ELSE 'Pages ' || array_to_string(l, ', ') || ' look like scanned or image-only pages, so they cannot open in this text-based editor yet. Try a different method.' END AS message FROM k""")
 def skipped_pages_notice(spark, sf_dir):
-    return planning.skipped_notice(table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), (F.col("doc_id") % 5 + 1).alias("page_id")))
+    d = F.col("doc_id")
+    pages = F.array(F.when(d % 3 > 0, d % 5 + 1), F.when(d % 3 > 1, F.lit(9)), d % 5 - 7)
+    rows = table(spark, sf_dir, "documents").select(d.alias("document_id"), F.explode(pages).alias("page_id"))
+    return planning.skipped_notice(rows).join(planning.unsupported_message(rows), "document_id")
+
+
+@query("SELECT event_id, CASE event_id % 11 WHEN 4 THEN 'preparing' WHEN 5 THEN 'translating' WHEN 6 THEN 'finishing' WHEN 7 THEN 'finishing' WHEN 8 THEN 'finishing' ELSE 'reading' END AS stage FROM events")
+def phase_stages(spark, sf_dir):
+    names = F.array(*[F.lit(p) for p in (*planning.STAGES, "unknown")], F.lit(None).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", planning.stage_of(F.get(names, (F.col("event_id") % 11).cast("int"))).alias("stage"))
 
 
 @query("SELECT user_id AS request_id, arg_max(event_type, ts) AS status, round(epoch(max(ts)) - epoch(min(ts)), 3) AS seconds FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1) GROUP BY ALL")
@@ -147,9 +158,9 @@ def request_log(spark, sf_dir):
     return log.select("request_id", "status", F.round("seconds", 3).alias("seconds"))
 
 
-@query(f"""WITH {WORDS}, l AS (SELECT * FROM words WHERE line_no % 50 < 3) SELECT doc_id, page_id, line_no, word_no, text AS word, round(lx + sum(w + 5) OVER (PARTITION BY doc_id, page_id, line_no ORDER BY word_no ROWS UNBOUNDED PRECEDING) - w - 5, 4) AS x_pt FROM (SELECT l.*, s.x0 AS lx, 10 * {width_sql("l.text")} AS w FROM l JOIN lines s ON l.doc_id = s.doc_id AND l.line_no = s.line_no)""")
+@query(f"""WITH {WORDS}, l AS (SELECT * FROM words) SELECT doc_id, page_id, line_no, word_no, text AS word, round(lx + sum(w + 5) OVER (PARTITION BY doc_id, page_id, line_no ORDER BY word_no ROWS UNBOUNDED PRECEDING) - w - 5, 4) AS x_pt FROM (SELECT l.*, s.x0 AS lx, 10 * {width_sql("l.text")} AS w FROM l JOIN lines s ON l.doc_id = s.doc_id AND l.line_no = s.line_no)""")
 def justified_runs(spark, sf_dir):
-    lines = first_lines(spark, sf_dir, 3).select(*LINE, "text", "x0", F.lit(10.0).alias("size"), F.lit(5.0).alias("gap"))
+    lines = layout_lines(spark, sf_dir).select(*LINE, "text", "x0", F.lit(10.0).alias("size"), F.lit(5.0).alias("gap"))
     return planning.justified_runs(lines, LINE)
 
 
@@ -166,9 +177,9 @@ def requested_pages_split(spark, sf_dir):
     return yes.withColumn("supported", F.lit(True)).unionByName(no.withColumn("supported", F.lit(False))).withColumnRenamed("document_id", "doc_id")
 
 
-@query(f"""WITH {LINES}, a AS (SELECT doc_id, page_id, line_no // 4 AS g, * EXCLUDE (doc_id, page_id) FROM lines WHERE line_no % 50 < 12), cells AS (SELECT DISTINCT doc_id, page_id, u.id AS cell_id, 0::DOUBLE AS x0, u.y0::DOUBLE AS y0, 5000::DOUBLE AS x1, u.y1::DOUBLE AS y1 FROM lines, (VALUES (1, 30, 110), (2, 90, 170), (3, 30, 400)) u(id, y0, y1)), h AS (SELECT a.doc_id, a.page_id, a.g, c.cell_id, count(*) AS n FROM a JOIN cells c ON a.doc_id = c.doc_id AND a.page_id = c.page_id WHERE (a.x0 + a.x1) / 2 BETWEEN c.x0 AND c.x1 AND (a.y0 + a.y1) / 2 BETWEEN c.y0 AND c.y1 GROUP BY ALL), m AS (SELECT doc_id, page_id, g, count(*) AS n FROM a GROUP BY ALL) SELECT h.doc_id, h.page_id, h.g::INT AS grp, h.cell_id FROM h JOIN m ON h.doc_id = m.doc_id AND h.page_id = m.page_id AND h.g = m.g AND h.n = m.n""")
+@query(f"""WITH {LINES}, a AS (SELECT doc_id, page_id, line_no // 4 AS g, * EXCLUDE (doc_id, page_id) FROM lines), cells AS (SELECT DISTINCT doc_id, page_id, u.id AS cell_id, 0::DOUBLE AS x0, u.y0::DOUBLE AS y0, 5000::DOUBLE AS x1, u.y1::DOUBLE AS y1 FROM lines, (VALUES (1, 30, 110), (2, 90, 170), (3, 30, 400)) u(id, y0, y1)), h AS (SELECT a.doc_id, a.page_id, a.g, c.cell_id, count(*) AS n FROM a JOIN cells c ON a.doc_id = c.doc_id AND a.page_id = c.page_id WHERE (a.x0 + a.x1) / 2 BETWEEN c.x0 AND c.x1 AND (a.y0 + a.y1) / 2 BETWEEN c.y0 AND c.y1 GROUP BY ALL), m AS (SELECT doc_id, page_id, g, count(*) AS n FROM a GROUP BY ALL) SELECT h.doc_id, h.page_id, h.g::INT AS grp, h.cell_id FROM h JOIN m ON h.doc_id = m.doc_id AND h.page_id = m.page_id AND h.g = m.g AND h.n = m.n""")
 def shared_cells(spark, sf_dir):
-    lines = first_lines(spark, sf_dir, 12)
+    lines = layout_lines(spark, sf_dir)
     groups = lines.select(*PAGE, F.floor(F.col("line_no") / 4).cast("int").alias("grp"), "x0", "y0", "x1", "y1")
     three = F.array(*[F.struct(F.lit(i).alias("cell_id"), F.lit(0.0).alias("x0"), F.lit(a).alias("y0"), F.lit(5000.0).alias("x1"), F.lit(b).alias("y1")) for i, a, b in ((1, 30.0, 110.0), (2, 90.0, 170.0), (3, 30.0, 400.0))])
     cells = lines.select(*PAGE).distinct().select(*PAGE, F.explode(three).alias("c")).select(*PAGE, "c.*")
@@ -215,9 +226,9 @@ def draw_operations(spark, sf_dir):
     return fitting.draw_lines(fitting.fit_blocks(blocks), [*PAGE, "block_no"])
 
 
-@query(f"""WITH {LINES}, n AS (SELECT a.doc_id, a.line_no, count(b.line_no) AS n FROM lines a LEFT JOIN lines b ON a.doc_id = b.doc_id AND a.page_id = b.page_id AND b.line_no <> a.line_no AND {box_sql("inter")} > 0 WHERE a.line_no % 50 < 20 GROUP BY ALL) SELECT doc_id, line_no, n FROM n""")
+@query(f"""WITH {LINES}, n AS (SELECT a.doc_id, a.line_no, count(b.line_no) AS n FROM lines a LEFT JOIN lines b ON a.doc_id = b.doc_id AND a.page_id = b.page_id AND b.line_no <> a.line_no AND {box_sql("inter")} > 0 GROUP BY ALL) SELECT doc_id, line_no, n FROM n""")
 def overlapping_boxes(spark, sf_dir):
-    a = spatial.prefixed(first_lines(spark, sf_dir).select(*PAGE, "line_no", "x0", "y0", "x1", "y1"), "a_", PAGE)
+    a = spatial.prefixed(layout_lines(spark, sf_dir).select(*PAGE, "line_no", "x0", "y0", "x1", "y1"), "a_", PAGE)
     b = spatial.prefixed(layout_lines(spark, sf_dir).select(*PAGE, "line_no", "x0", "y0", "x1", "y1"), "b_", PAGE)
     hit = (F.col("a_line_no") != F.col("b_line_no")) & (g.intersection_area(g.box("a_"), g.box("b_")) > 0)
     pairs = spatial.spatial_join(a, b, PAGE, hit, grid=200.0)

@@ -110,9 +110,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def drop_old_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect plans that nothing refers to: Spark deletes their shuffle files on all executors only then."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
+    drop_old_shuffles(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -124,5 +130,6 @@ def stored(df: DataFrame) -> DataFrame:
     import uuid
 
     place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    drop_old_shuffles(df.sparkSession)
     df.write.parquet(place)
     return df.sparkSession.read.parquet(place)

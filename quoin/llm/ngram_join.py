@@ -37,7 +37,7 @@ from quoin.llm.components import connected_components
 WORDS, SIMILARITY = 5, 0.8
 #: Chance that a pair at the threshold shares a band, and the most hash functions for it.
 RECALL, MOST_HASHES = 0.998, 140
-BLOCK = 48
+BLOCK = 96
 _WORD = re.compile(r"\w+")
 _CACHE = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)

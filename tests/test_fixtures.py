@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quoin.functions import bidi, style, text, translation
 from quoin.functions import geometry as g
-from quoin.functions import style, text, translation
 from quoin.operators import aggregates, continuation, fitting, folds, islands, raster, session, spatial
 
 
@@ -172,3 +172,57 @@ def test_stream(spark, tmp_path):
     q = watch_documents(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT code FROM seen").first()["code"] == "de"
+
+
+def _line(spark, *tokens):
+    """Characters of tokens that stand from the left at the given x, in the order of the tokens."""
+    chars, n = [], 0
+    for token, x in tokens:
+        for i, c in enumerate(token):
+            chars.append((n, c, float(x + i)))
+            n += 1
+    return spark.createDataFrame([(chars,)], "chars array<struct<ord:int,c:string,x0:double>>")
+
+
+def test_mixed_lines(spark):
+    line = lambda *tokens: _line(spark, *tokens).select(bidi.mixed_line(F.col("chars"))).first()[0]
+    assert line(("ABC", 10), (" ", 14), ("שלום", 50)) == "שלום ABC"
+    assert line((":12", 10), (" ", 14), ("סכום", 50)) == "סכום: 12"
+    assert line(("USB-", 10), (" ", 15), ("ב", 50), (" ", 52), ("שלום", 60)) == "שלום ב-USB"
+    assert line(("שלוםABC", 50)) == "ABC שלום"  # parted where the direction changes; the Latin run stands further right
+    assert line(("hello ", 10), ("שם", 20)) == "hello שם"  # more Latin letters: as it is
+    assert line(("שלום", 10), (" ", 15), ("עולם", 20)) == "שלום עולם"
+    df = _line(spark, ("ABC שלום", 10))
+    assert df.select(bidi.mixed_line(F.col("chars"), F.lit("vertical"))).first()[0] == "ABC שלום"
+    got = _line(spark, ("-א1", 0)).select(bidi.bidi_tokens(F.col("chars"))).first()[0]
+    assert [(t["text"], t["direction"]) for t in got] == [("-א", "rtl"), ("1", "ltr")]
+    empty = spark.createDataFrame([([],)], "chars array<struct<ord:int,c:string,x0:double>>")
+    assert empty.select(bidi.mixed_line(F.col("chars"))).first()[0] == ""
+
+
+def test_trimmed_chars_and_word_order(spark):
+    trimmed = lambda t: [x["c"] for x in _line(spark, (t, 0)).select(bidi.trimmed_chars(F.col("chars"))).first()[0]]
+    assert trimmed("  a b ") == list("a b")
+    assert trimmed("   ") == []
+    words = lambda *w: [x["text"] for x in spark.createDataFrame([(list(w),)], "w array<struct<text:string,x0:double,word_no:int>>").select(bidi.ordered_words(F.col("w"))).first()[0]]
+    assert words(("שם", 1.0, 0), ("אב", 9.0, 1)) == ["אב", "שם"]
+    assert words(("b", 9.0, 0), ("a", 1.0, 1)) == ["a", "b"]
+    assert words(("2", 1.0, 1), ("1", 9.0, 0)) == ["1", "2"]
+
+
+BLOCK = "page_id int, block_id string, type string, style_id string, text string, x0 double, y0 double, x1 double, y1 double, reading_order int, confidence double"
+
+
+def test_continuation_pairs(spark):
+    assert continuation.chained([(0, 1), (0, 2), (1, 3), (2, 3), (2, 4)]) == [[0, 1, 3], [2, 4]]
+    blocks = spark.createDataFrame([(1, "p1_b1", "text_line", "s1", "one  two", 100.0, 50.0, 200.0, 62.0, 1, 0.99), (1, "p1_b2", "text_line", "s1", "three", 100.0, 64.0, 200.0, 76.0, 2, 0.9), (1, "p1_b3", "text_line", "s2", "end", 220.0, 50.0, 280.0, 62.0, 3, 0.98)], BLOCK)
+    pairs = spark.createDataFrame([(1, 0, 1)], "page_id int, a long, b long")
+    groups = continuation.continuation_groups(blocks.withColumn("at", F.col("reading_order") - 1), pairs, ["page_id"])
+    cells = spark.createDataFrame([(1, 1, 90.0, 40.0, 210.0, 90.0, 4)], "page_id int, cell_id int, x0 double, y0 double, x1 double, y1 double, walls int")
+    got = continuation.merged_pairs(blocks, groups, cells, ["page_id"]).orderBy("reading_order").collect()
+    assert [(r["block_id"], r["reading_order"], r["merged_ids"]) for r in got] == [("p1_m1", 1, ["p1_b1", "p1_b2"]), ("p1_b3", 2, None)]
+    assert (got[0]["text"], got[0]["confidence"], got[0]["x0"], got[0]["y0"], got[0]["x1"], got[0]["y1"]) == ("one two three", 0.9, 100, 50, 200, 76)
+    # A smaller cell around one of them, three walls, or another style: nothing is merged.
+    inner = spark.createDataFrame([(1, 2, 90.0, 40.0, 210.0, 63.0, 4)], cells.schema)
+    for c, b in ((cells.union(inner), blocks), (cells.withColumn("walls", F.lit(3)), blocks), (cells, blocks.withColumn("style_id", F.col("block_id")))):
+        assert {r["block_id"] for r in continuation.merged_pairs(b, groups, c, ["page_id"]).collect()} == {"p1_b1", "p1_b2", "p1_b3"}

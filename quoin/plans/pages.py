@@ -9,7 +9,7 @@ from quoin.functions import style as st
 from quoin.functions import text as tx
 from quoin.functions import translation as tr
 from quoin.operators import aggregates, extraction, folds, fitting, islands, planning, session, spatial, tables
-from quoin.plans.catalog import LINES, PAGE, WORDS, _walls, _WALLS, box_sql, layout_lines, line_words, query, r6, width_sql
+from quoin.plans.catalog import LINES, PAGE, WORDS, _walls, _WALLS, box_sql, layout_lines, line_words, n_of, query, r6, width_sql
 from quoin.sources import readers
 from quoin.sources.synth import table
 
@@ -234,3 +234,12 @@ def overlapping_boxes(spark, sf_dir):
     pairs = spatial.spatial_join(a, b, PAGE, hit, grid=200.0)
     counts = pairs.groupBy("doc_id", "a_line_no").agg(F.count(F.lit(1)).alias("n"))
     return a.join(counts, ["doc_id", "a_line_no"], "left").select("doc_id", F.col("a_line_no").alias("line_no"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""WITH {WORDS}, w AS (SELECT doc_id, page_id, line_no, word_no, text, CASE WHEN line_no % 2 = 1 THEN 612 - x0 ELSE x0 END AS x, sum({n_of("text", tx.RTL)}) OVER (PARTITION BY doc_id, page_id, line_no) AS r, sum({n_of("text", tx.LTR)}) OVER (PARTITION BY doc_id, page_id, line_no) AS l FROM words)
+SELECT doc_id, page_id, line_no, string_agg(text, ' ' ORDER BY CASE WHEN r = 0 AND l = 0 THEN 0 WHEN r >= l THEN -x ELSE x END, word_no) AS text FROM w GROUP BY ALL""")
+def line_word_order(spark, sf_dir):
+    """Words of every line by place; odd lines run from the right."""
+    x = F.when(F.col("line_no") % 2 == 1, 612 - F.col("x0")).otherwise(F.col("x0"))
+    words = line_words(spark, sf_dir).groupBy(*LINE).agg(F.collect_list(F.struct("text", x.alias("x0"), "word_no")).alias("words"))
+    return words.select(*LINE, F.array_join(F.transform(bidi.ordered_words(F.col("words")), lambda w: w["text"]), " ").alias("text"))

@@ -140,6 +140,9 @@ def mixed_line(chars: Column, orientation: Column | None = None) -> Column:
 def ordered_words(words: Column) -> Column:
     """Words (text, x0, word_no) of a line by place: from the right, from the left, or as numbered, by the direction of the whole line."""
     way = direction(F.array_join(F.transform(words, lambda w: w["text"]), " "))
-    side = lambda w: F.when(way == "rtl", -w["x0"]).when(way == "ltr", w["x0"]).otherwise(F.lit(0.0))
-    keyed = F.array_sort(F.transform(words, lambda w: F.struct(side(w).alias("side"), w["word_no"].alias("word_no"), w.alias("w"))))
-    return F.transform(keyed, lambda k: k["w"])
+
+    def placed(d: Column) -> Column:
+        side = lambda w: F.when(d == "rtl", -w["x0"]).when(d == "ltr", w["x0"]).otherwise(F.lit(0.0))
+        return F.transform(F.array_sort(F.transform(words, lambda w: F.struct(side(w).alias("side"), w["word_no"].alias("word_no"), w.alias("w")))), lambda k: k["w"])
+
+    return F.transform(F.array(way), placed)[0]  # the direction is found once a line, not once a word

@@ -22,6 +22,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import regex
@@ -89,6 +90,17 @@ class _Held:
         self.young[key] = value
         self.size += ENTRY_BYTES + len(key)
 
+    def put_all(self, keys: list[bytes], values: Iterable[tuple]) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self.size += ENTRY_BYTES * len(keys) + sum(map(len, keys))
+
+    def lacking(self, keys: set[bytes]) -> set[bytes]:
+        """Keys that neither generation holds; those in the older one move to the younger."""
+        keys, old = keys.difference(self.young), self.old
+        back = [k for k in keys if k in old]
+        self.put_all(back, [old[k] for k in back])
+        return keys.difference(back)
+
 
 def parts_at_space(spec: dict) -> bool:
     """Whether a vocabulary surely gives words between white space the same tokens wherever they stand.
@@ -118,57 +130,74 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bits, self.counts_only = bits, counts_only
-        if not parts_at_space(json.loads(self.tokenizer.to_str())):
+        spec = json.loads(self.tokenizer.to_str())
+        if not parts_at_space(spec):
             raise ValueError("chunk joins are exact only for vocabularies that lower case, part words at white space and have no decoder")
         size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.id_texts = [] if counts_only else [str(i) for i in range(size)]
-        self.id_tokens = [] if counts_only else [self.tokenizer.id_to_token(i) for i in range(size)]
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.id_tokens = [] if counts_only else tokens
+        #: Bytes of text that each token stands for (byte-level tokens have one character a byte); none counts as too many for any word.
+        mark, unknown = spec["model"].get("end_of_word_suffix") or "", spec["model"].get("unk_token")
+        self.id_bytes = np.array([1 << 40 if t == unknown or not t else len(t.removesuffix(mark)) for t in tokens], dtype=np.int64)
         self.held_words, self.held_chunks = _Held(WORD_BYTES), _Held(CHUNK_BYTES)
         self.words = self.held_words.young
         self.encoded_chunks = self.reused_chunks = 0
 
-    def learn(self, words: Iterable[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """Encode words that the cache lacks.
 
         An ASCII word with closing punctuation gives the tokens of its lower-case letters and
         of the punctuation: the vocabulary lowers case and parts both anyway.
         """
-        find, parted, plain = self.held_words.find, {}, set()
-        for word in words:
-            if find(word) is not None:
-                continue
+        parted, plain = {}, set()
+        for word in self.held_words.lacking(words):
             core = word.rstrip(_CLOSING)
             if core.isalpha() and (low := core.lower()) != word:
                 parted[word] = (low, word[len(core) :])
                 plain.update(parted[word])
             else:
                 plain.add(word)
-        self._encode([w for w in plain if w and find(w) is None])
-        held, put = self.words, self.held_words.put
-        for word, (low, rest) in parted.items():
+        plain.discard(b"")
+        new = self.held_words.lacking(plain)
+        self._encode([w for w in new if w.isascii()], True)
+        self._encode([w for w in new if not w.isascii()], False)
+        held, made = self.words, []
+        for low, rest in parted.values():
             a = held[low]
             b = held[rest] if rest else (0, "", "")
-            put(word, (a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}") if b[0] else a)
+            made.append((a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}") if b[0] else a)
+        self.held_words.put_all(list(parted), made)
 
-    def _encode(self, new: list[bytes]) -> None:
+    def _encode(self, new: list[bytes], ascii_only: bool) -> None:
         """Encode words, a thousand in one call."""
-        put = self.held_words.put
         for at in range(0, len(new), 1000):
-            part = [w.decode("utf-8", "surrogatepass") for w in new[at : at + 1000]]
+            words = new[at : at + 1000]
+            part = [w.decode("utf-8", "surrogatepass") for w in words]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            first = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(got))
-            ends, begin = np.searchsorted(first, starts[1:]).tolist(), 0
+            found = got.ids
+            ends = self._ends(found, part) if ascii_only else None
+            if ends is None:
+                starts = np.cumsum([len(w) + 1 for w in part])
+                first = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(found))
+                ends = np.searchsorted(first, starts)
+            begins = [0, *ends[:-1].tolist()]
             if self.counts_only:
-                for word, end in zip(new[at : at + 1000], ends, strict=True):
-                    put(word, (end - begin, "", ""))
-                    begin = end
+                self.held_words.put_all(words, zip(np.diff(ends, prepend=0).tolist(), repeat(""), repeat("")))
                 continue
-            found = got.ids
             ids, tokens = [self.id_texts[i] for i in found], [self.id_tokens[i] for i in found]
-            for word, end in zip(new[at : at + 1000], ends, strict=True):
-                put(word, (end - begin, " ".join(ids[begin:end]), " ".join(tokens[begin:end])))
-                begin = end
+            self.held_words.put_all(words, [(end - begin, " ".join(ids[begin:end]), " ".join(tokens[begin:end])) for begin, end in zip(begins, ends.tolist(), strict=True)])
+
+    def _ends(self, found: list[int], part: list[str]) -> np.ndarray | None:
+        """Where each word's tokens end, from the bytes they stand for; None unless these agree at the end of every word.
+
+        Lowering keeps the length of ASCII words, and white space that is dropped or an
+        unknown character only takes away or adds: equal sums are the words' own tokens.
+        """
+        upto = np.cumsum(self.id_bytes[found])
+        want = np.cumsum([len(w) for w in part])
+        last = np.searchsorted(upto, want)
+        return last + 1 if len(upto) and upto[-1] == want[-1] and (upto[last] == want).all() else None
 
     def _cut(self, data: bytes) -> list[bytes]:
         at, out = 0, []
@@ -226,8 +255,12 @@ class ChunkEncoder:
     def _sum(self, got: list[tuple[int, str, str]]) -> tuple[int, str, str]:
         if self.counts_only:
             return sum([g[0] for g in got]), "", ""
-        got = [g for g in got if g[0]]
-        return sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
+        if not got:
+            return 0, "", ""
+        counts, ids, tokens = zip(*got, strict=True)
+        if 0 in counts:
+            ids, tokens = [g[1] for g in got if g[0]], [g[2] for g in got if g[0]]
+        return sum(counts), " ".join(ids), " ".join(tokens)
 
 
 ENCODED = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]

@@ -577,3 +577,17 @@ def test_oracles(spark):
     assert isinstance(con, duckdb.DuckDBPyConnection)
     for name, sql in queries.ORACLES.items():
         assert oracle.differences(queries.QUERIES[name](spark, SF), con, sql) == []
+
+
+@pytest.mark.parametrize("counts_only", [False, True])
+def test_bpe_words_of_odd_characters(counts_only):
+    draw = random.Random(3)
+    signs = ["a", "B", "İ", "é", "\x0b", "\x1c", "\x00", " ", " ", "\n", "\t", "\r", ".", "'", "'s", "!", "<|endoftext|>", "12", "日", "-", "_", "T", "the", "\x85"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 400))) for _ in range(400)]
+    encoder = bpe_chunks.ChunkEncoder(bpe_chunks.default_vocabulary(), counts_only=counts_only)
+    for text, got in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert got[0] == len(ids)
+        if not counts_only:
+            assert got[1] == " ".join(map(str, ids))
+            assert got[2] == encoder.tokenizer.decode(ids, skip_special_tokens=False)

@@ -42,11 +42,19 @@ TOKEN = r"<[nuc]>|[\p{L}\p{M}]+"
 NAME = r"(^|[^\p{L}\p{M}])(\p{Lu}\p{Ll}[\p{L}\p{M}]*(?:\x20\p{Lu}\p{Ll}[\p{L}\p{M}]*)*)"
 
 
+def _looped(pattern: str) -> str:
+    """A pattern with its repeated groups possessive: Java matches these in a loop, plain ones by a recursion that overflows the stack on long runs.
+
+    Nothing that follows a repeated group here can match a part of it, so matches stay the same. SQL has no such form.
+    """
+    return pattern.replace(")*", ")*+")
+
+
 def canonical(text: Column) -> Column:
     """Canonical tokens: lower-case words, <n> for numbers, <u> for units, <c> for runs of capitalised words."""
     plain = F.translate(F.coalesce(text, F.lit("")), "<>", "  ")
-    named = F.regexp_replace(plain, NAME, "$1<c>")
-    numbered = F.regexp_replace(named, NUMBER, "<n>")
+    named = F.regexp_replace(plain, _looped(NAME), "$1<c>")
+    numbered = F.regexp_replace(named, _looped(NUMBER), "<n>")
     united = F.regexp_replace(numbered, r"(<n>\s?)(?:" + "|".join(UNITS) + r")([^\p{L}\p{M}]|$)", "$1<u>$2")
     return F.regexp_extract_all(F.lower(united), F.lit(TOKEN), F.lit(0))
 
@@ -54,7 +62,7 @@ def canonical(text: Column) -> Column:
 def raw_tokens(text: Column) -> Column:
     """The values that stand behind the canonical tokens, one for one; names between <c and >."""
     plain = F.translate(F.coalesce(text, F.lit("")), "<>", "  ")
-    return F.regexp_extract_all(F.regexp_replace(plain, NAME, "$1<c$2>"), F.lit(RAW_TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(plain, _looped(NAME), "$1<c$2>"), F.lit(_looped(RAW_TOKEN)), F.lit(0))
 
 
 def _triple(tokens: Column, i: Column) -> Column:

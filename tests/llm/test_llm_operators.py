@@ -476,6 +476,17 @@ def test_decontamination_of_shifted_and_short_items(spark):
     assert not got[1, 1]
 
 
+def test_decontamination_of_long_runs(spark):
+    item = "while the red fox was asleep under the old bridge the boat came back"
+    docs = [(1, "Abc Défgh " * 10000 + item), (2, "1.2," * 10000 + "3 " + item), (3, "Abc " * 10000)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["exact"]) for r in got.collect()} == {(1, 1, True), (2, 1, True)}
+    runs = spark.createDataFrame([("Abc Defg\u0301 Hij, KLM Nop 1.2,3 km 4..5 Abc  Def Ab1 <c> Gh I Jk",)], "text string")
+    tokens = runs.select(decontaminate.canonical(F.col("text")).alias("c"), decontaminate.raw_tokens(F.col("text")).alias("r")).first()
+    assert tokens["c"] == "<c> klm <c> <n> <u> <n> <n> <c> <c> <n> c <c> i <c>".split()
+    assert tokens["r"] == ["<cAbc Defg\u0301 Hij>", "KLM", "<cNop>", "1.2,3", "km", "4", "5", "<cAbc>", "<cDef Ab>", "1", "c", "<cGh>", "I", "<cJk>"]
+
+
 def test_decontamination_is_brute_force(spark, monkeypatch):
     docs, items = table(spark, SF1, "documents"), table(spark, SF1, "benchmark")
     words = lambda t: re.findall(r"\w+", (t or "").lower())

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quoin.functions import geometry as g
 from quoin.functions.style import PALETTE_DISTANCE, PALETTE_SIZE, color_distance, rgb01
+from quoin.functions.text import _once
+from quoin.operators.extraction import lines_from_chars
 
 # What makes a page image a suspicious background.
 BACKGROUND_SHARE, BACKGROUND_BLOCKS, BACKGROUND_TEXT = 0.8, 15, 120
@@ -102,12 +104,20 @@ def document_quality(pages: DataFrame, alternatives: bool = True, mirrored: bool
     return rows.select("document_id", F.round(1 - F.least(F.lit(1.0), loss), 3).alias("confidence"), reasons.alias("reasons"), F.when(more, other).otherwise("main").alias("recommended"), F.when(more, F.lit(1 + int(mirrored)) + F.when(F.col("ok") > 0, 1).otherwise(0)).otherwise(1).alias("planned"))
 
 
+def line_glyph_widths(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each line's ``chars``: their text, median width of visible characters, widest space, largest gap in x order. No shuffle."""
+    wide = F.transform("chars", lambda x: F.struct((F.trim(x["c"]) == "").alias("s"), (x["x1"] - x["x0"]).alias("w")))
+    visible = F.sort_array(F.filter(wide, lambda x: ~x["s"] & (x["w"] > 0)).getField("w"))
+    half = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
+    placed = F.sort_array(F.transform("chars", lambda x: F.struct(x["x0"].alias("x0"), x["ord"].alias("ord"), x["x1"].alias("x1"))))
+    gap = _once(placed, lambda p: F.array_max(F.transform(p, lambda x, i: F.when(i > 0, x["x0"] - F.get(p, i - 1)["x1"]))))
+    zero = F.lit(0.0)
+    return lines.select(*keys, F.array_join(F.col("chars").getField("c"), "").alias("text"), F.coalesce(_once(visible, half), zero).alias("median_width"), F.coalesce(F.array_max(F.filter(wide, lambda x: x["s"]).getField("w")), zero).alias("space_width"), F.coalesce(gap, zero).alias("max_gap"))
+
+
 def glyph_widths(chars: DataFrame, keys: list[str]) -> DataFrame:
-    """Per line: median width of visible characters, widest space, largest gap in x order."""
-    w = Window.partitionBy(*keys).orderBy("x0", "ord")
-    rows = chars.withColumn("_gap", F.col("x0") - F.lag("x1").over(w)).withColumn("_w", F.col("x1") - F.col("x0"))
-    space = F.trim("c") == ""
-    return rows.groupBy(*keys).agg(F.coalesce(F.median(F.when(~space & (F.col("_w") > 0), F.col("_w"))), F.lit(0.0)).alias("median_width"), F.coalesce(F.max(F.when(space, F.col("_w"))), F.lit(0.0)).alias("space_width"), F.coalesce(F.max("_gap"), F.lit(0.0)).alias("max_gap"))
+    """``line_glyph_widths`` of flat characters."""
+    return line_glyph_widths(lines_from_chars(chars, keys), keys)
 
 
 def tightness(metrics: DataFrame) -> DataFrame:
